@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import bpe, media, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,34 @@ def query(f):
 @query
 def op4_media_columns(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.TOKENIZER))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, CAST(from_hex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits
+  FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+    array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT)
+        + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT) + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT)
+        + CAST(substr(bits, i * 5 + 5, 1) AS INT), 1)), '') AS payload_digest
+  FROM p
+), k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM k
+"""
