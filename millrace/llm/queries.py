@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, warc
+from . import bpe, media, neardup, packing, pii, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op2_best_fit_packing(spark, sf_dir):
 @query
 def op10_pii(spark, sf_dir):
     return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
