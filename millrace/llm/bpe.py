@@ -34,26 +34,36 @@ from .common import ship, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words (and pairs) that a Python worker remembers; beyond it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@lru_cache(1)
-def _pattern() -> re.Pattern:
-    """The word pattern with Unicode categories spelt out, for ``re``."""
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@lru_cache(3)
+def _pattern(top: int) -> re.Pattern:
+    """The word pattern for texts of code points up to ``top``, for ``re``.
+
+    Unicode categories are spelt out. A class with characters beyond the basic
+    plane is slow to search, so texts without any get a pattern of their own.
+    """
     runs: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(sys.maxunicode + 1):
-        if own := runs.get(unicodedata.category(chr(c))[0]):
-            if own[-1][1] == c - 1:
-                own[-1][1] = c
-            else:
-                own.append([c, c])
+    for c in range(top + 1):
+        own = runs.get(unicodedata.category(chr(c))[0])
+        if own and own[-1][1] == c - 1:
+            own[-1][1] = c
         elif own is not None:
             own.append([c, c])
     spelt = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in runs.items()}
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{spelt['L']}]+|[{spelt['N']}]|[^{_WHITE}{spelt['L']}{spelt['N']}]+")
 
 
+def _find(text: str) -> list[str]:
+    top = 127 if text.isascii() else sys.maxunicode if _ASTRAL.search(text) else 0xFFFF
+    return _pattern(top).findall(text)
+
+
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -87,7 +97,7 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
-        find = _pattern().findall
+        find = _find
         if not self.split or "<|" not in text:
             return find(self.normal(text))
         out: list[str] = []
@@ -101,16 +111,19 @@ class Encoder:
 
     def merge(self, parts: list[str]) -> list[str]:
         """Exact merging: the pair of least rank first, leftmost first."""
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best, at = none, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]), none)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
+        rank, none = self.ranks.get, len(self.ranks)
+        of = [rank(p, none) for p in zip(parts, parts[1:])]
+        while of:
+            best = min(of)
+            if best == none:
                 break
+            at = of.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del of[at]
+            if at:
+                of[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(of):
+                of[at] = rank((parts[at], parts[at + 1]), none)
         return parts
 
     def merge_long(self, parts: list[str]) -> list[str]:

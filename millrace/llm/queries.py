@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, neardup, packing, pii, quality, warc
+from . import bpe, langid, media, neardup, packing, pii, quality, secretscan, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars > 12 * n_words OR word_chars < 2 * n_words OR (up >= 20 AND up > low) OR 100 * marks > 10 * word_chars) AS kept
 FROM b
 """
+
+
+@query
+def op3_secret_scans(spark, sf_dir):
+    return secretscan.span_digests(table(spark, sf_dir, "documents"))
