@@ -9,8 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the word separator of every operator here.
@@ -104,3 +105,21 @@ def map_rows(df: DataFrame, row: Callable, schema: pa.Schema, ddl: str, state: C
 def words(text):
     """Words of a text as a Column: runs without ASCII white space."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def bit_filter(value: Column, df: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` (a power of two) values ``value`` takes, as packed bits, least first.
+
+    Built by Spark's bitmap aggregates: bits / 32768 rows of 4 KB come to the driver.
+    """
+    at = F.pmod(value, F.lit(bits)) + 1
+    rows = df.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def bits_set(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of the values ``at`` is in a filter made by ``bit_filter``."""
+    return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1) != 0

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_batches
+from .common import bit_filter, bits_set, cut, ship, small_batches
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 80
@@ -141,27 +141,17 @@ def _may_be_linked(similarity: int) -> Column:
     return (least * 100 >= most * similarity) & (_odd_bits("odd_a", "odd_b") <= most_odd_bits(similarity))
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """Which of FILTER_BITS hash values the ids take, as bits; its size is fixed."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select((at / 4096).cast("int").alias("part"), (at % 4096).cast("int").alias("bit")).groupBy("part").agg(F.collect_set("bit").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS, bool)
-    for r in rows:  # at most 2,048 rows of 4,096 small integers
-        out[r["part"] * 4096 + np.array(r["bits"], np.int64)] = True
-    return np.packbits(out)
-
-
 def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut(ends.join(nodes.select("node", F.col("first_id").alias("doc_id")), "node"), "wanted")
-    bits = spark.sparkContext.broadcast(_filter(wanted))
+    bits = spark.sparkContext.broadcast(bit_filter(F.xxhash64("doc_id"), wanted, FILTER_BITS))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b[2].to_numpy()
-            hit = np.flatnonzero((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(bits_set(bits.value, at))
             if len(hit):
                 texts = b[1].take(pa.array(hit)).to_pylist()
                 sets = [shingle_hashes(t, size).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in texts]
@@ -247,3 +237,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     ids = named.join(least, "component").select("node", "component_id")
     out = sk.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that are no near-duplicate of another, and one row of each group.
+
+    A group keeps its document of least doc_id. Rows that repeat a doc_id are
+    one document and stay or go together. Rows without a doc_id can't be named
+    and stay; so do rows without words, which are linked with nothing.
+    """
+    found = near_duplicates(docs, size, similarity)
+    # a component's other ids go; most ids stay, so the lesser set is joined
+    gone = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, neardup, packing, pii, quality, secretscan, warc
+from . import bpe, htmltext, langid, media, neardup, packing, pii, quality, secretscan, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ FROM b
 @query
 def op3_secret_scans(spark, sf_dir):
     return secretscan.span_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
