@@ -295,19 +295,30 @@ def repeats(read: DataFrame) -> DataFrame:
 
 
 def unique_runs(text: str, removed: np.ndarray) -> str:
-    """The blocks of ``text`` without the tokens that a removed class covers."""
+    """The blocks of ``text`` without what removed classes cover.
+
+    A block goes if all of its tokens are covered. Of any other, those tokens go
+    that a repeat within the block covers: one that runs in from a neighbour
+    takes no part of it.
+    """
+    blocks = text.split("\n\n")
     tokens, _ = _tokens([text])
+    block = np.repeat(np.arange(len(blocks)), [len(t.split(" ")) for t in blocks])
     at = np.flatnonzero(np.isin(_classes(tokens), removed))
-    covered = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + DEPTH, -1)
-    keep, out, lo = np.cumsum(covered)[:-1] == 0, [], 0
-    for t in text.split("\n\n"):
-        w = t.split(" ")
-        own = keep[lo : lo + len(w)]
-        lo += len(w)
-        if own.any():
-            out.append(" ".join([x for x, k in zip(w, own.tolist(), strict=True) if k]))
+
+    def left(starts: np.ndarray) -> np.ndarray:
+        covered = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + DEPTH, -1)
+        return np.cumsum(covered)[:-1] == 0
+
+    whole, within = left(at), left(at[block[at] == block[at + DEPTH - 1]])
+    out = []
+    for i, t in enumerate(blocks):
+        own = slice(*np.searchsorted(block, [i, i + 1]))
+        if whole[own].any():
+            kept = [x for x, k in zip(t.split(" "), within[own].tolist(), strict=True) if k]
+            out += [" ".join(kept)] if kept else []
     return "\n\n".join(out)
 
 

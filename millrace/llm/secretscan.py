@@ -96,13 +96,15 @@ def _statistics(token: Column) -> Column:
             squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda s, v: s + F.pow(F.size(F.filter(c, lambda y: y == v)).cast("double"), F.lit(2.0)))
             chi = a * squares / n_ - n_
             # structured text repeats letters: its index of coincidence exceeds 1/a by the factor `excess`
-            excess = F.when(a <= 16, F.lit(0.9)).otherwise(F.lit(0.065) * a)
+            # (lower where both cases share the letters, as in CamelCase)
+            excess = F.when(a <= 16, F.lit(0.9)).when(a <= 36, F.lit(0.065) * a).otherwise(F.lit(0.042) * a)
             mean, var = (a - 1) + n_ * excess, 2 * (a - 1) + 4 * n_ * excess + n_ * excess
             p_even = _p_upper((mean - chi) / F.sqrt(var))
             klass = F.transform(c, lambda y: F.when(y.between(48, 57), 0).when(y.between(65, 90), 1).when(y.between(97, 122), 2).otherwise(3))
             changes = F.size(F.filter(klass, lambda k, i: (i > 0) & (k != F.get(klass, i - 1)))).cast("double")
-            expected = 0.12 * (n_ - 1)  # structured text keeps its class
-            p_runs = _p_upper((changes - expected - 0.5) / F.sqrt(0.12 * 0.88 * (n_ - 1) + 1))
+            # structured text keeps its class; mixed case and paths change it at every word
+            rate = F.when(a <= 16, F.lit(0.2)).when(a <= 36, F.lit(0.08)).otherwise(F.lit(0.35))
+            p_runs = _p_upper((changes - rate * (n_ - 1) - 0.5) / F.sqrt(rate * (1 - rate) * (n_ - 1) + 1))
             m = F.aggregate(c, F.lit(0.0), lambda s, y: s + y) / n_
             v = F.aggregate(c, F.lit(0.0), lambda s, y: s + (y - m) * (y - m))
             lag = F.aggregate(F.transform(c, lambda y, i: F.when(i > 0, (y - m) * (F.get(c, i - 1) - m)).otherwise(0.0)), F.lit(0.0), lambda s, y: s + y)
