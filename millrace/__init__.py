@@ -1 +1,5 @@
-"""Document analytics on PySpark: pipelines as plain dictionaries, run by Catalyst."""
+"""Document analytics on PySpark."""
+
+from .engine import Database
+
+__all__ = ["Database"]
