@@ -264,12 +264,12 @@ pipeline(
     "orders",
     [
         {"$setWindowFields": {"partitionBy": "$o_custkey", "sortBy": {"o_orderkey": 1}, "output": {"slope": {"$derivative": {"input": "$o_totalprice"}, "window": {"documents": [-1, 0]}}, "area": {"$integral": {"input": "$o_totalprice"}, "window": {"documents": [-1, 0]}}, "ema": {"$expMovingAvg": {"input": "$o_totalprice", "alpha": 0.5}}, "cov": {"$covariancePop": ["$o_orderkey", "$o_totalprice"], "window": {"documents": [-2, 0]}}}}},
-        {"$project": {"o_orderkey": 1, "slope": 1, "area": 1, "cov": R("$cov"), "first": {"$eq": ["$ema", "$o_totalprice"]}}},
+        {"$project": {"o_orderkey": 1, "slope": 1, "area": 1, "up": {"$gt": ["$cov", 0.5]}, "first": {"$eq": ["$ema", "$o_totalprice"]}}},
     ],
     """
 SELECT o_orderkey, (o_totalprice - lag(o_totalprice) OVER w) / (o_orderkey - lag(o_orderkey) OVER w) AS slope,
   coalesce((o_orderkey - lag(o_orderkey) OVER w) * (lag(o_totalprice) OVER w + o_totalprice) / 2, 0) AS area,
-  round(covar_pop(o_orderkey, o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS cov, row_number() OVER w = 1 AS "first"
+  covar_pop(o_orderkey, o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 0.5 AS up, row_number() OVER w = 1 AS "first"
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
 """,
 )
