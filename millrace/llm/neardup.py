@@ -16,8 +16,11 @@ Jaccard similarity of at least ``similarity`` percent are linked.
    the XOR population count of the odd sketches excludes pairs more than five
    standard deviations below the threshold, and the rest are confirmed on the
    full sets. Stars give components.
-4. Buckets that still hold several components are compared in full, in blocks
-   of bounded size, but only across components; new pairs pass the same tests.
+4. Buckets that still hold several components are compared in full, but only
+   across components: blocks of bounded size first name the nodes of which some
+   pair passes the size and sketch tests, then blocks of bounded bytes compare
+   the full sets of those and emit only the links that join components, never
+   the pairs of a bucket.
 
 Repeated rows share a fingerprint and a component; a null document id never
 becomes a component's id unless it has no other.
@@ -42,8 +45,8 @@ BANDS, ROWS = 28, 4
 SKETCH_BITS = 1024
 #: Standard deviations below the threshold at which a sketch rules a pair out.
 MARGIN = 5.0
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Members of a bucket that one task compares with as many others, by sketches and then (in bytes) by sets.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
 #: Bits of the filter that picks the texts to shingle again (1 MB in all).
 FILTER_BITS = 1 << 23
 _WORDS_KEPT = 300_000
@@ -141,17 +144,15 @@ def _may_be_linked(similarity: int) -> Column:
     return (least * 100 >= most * similarity) & (_odd_bits("odd_a", "odd_b") <= most_odd_bits(similarity))
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the nodes in ``wanted``: each one's sorted shingle hashes, 6 bytes each."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(ends.join(nodes.select("node", F.col("first_id").alias("doc_id")), "node"), "wanted")
-    bits = spark.sparkContext.broadcast(bit_filter(F.xxhash64("doc_id"), wanted, FILTER_BITS))
+    first = cut(wanted.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node"), "wanted")
+    bits = spark.sparkContext.broadcast(bit_filter(F.xxhash64("doc_id"), first, FILTER_BITS))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b[2].to_numpy()
-            hit = np.flatnonzero(bits_set(bits.value, at))
+            hit = np.flatnonzero(bits_set(bits.value, b[2].to_numpy()))
             if len(hit):
                 texts = b[1].take(pa.array(hit)).to_pylist()
                 sets = [shingle_hashes(t, size).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in texts]
@@ -159,18 +160,23 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, simi
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     made = d.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(shingle, "doc_id long, `set` binary")
-    sets = cut(made.join(wanted, "doc_id").select("node", "set").dropDuplicates(["node"]), "sets")
+    return cut(made.join(first, "doc_id").select("node", "set").dropDuplicates(["node"]), "sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(raw: bytes) -> np.ndarray:
-            x = np.zeros((len(raw) // 6, 8), np.uint8)
-            x[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return x.view(">u8").ravel().astype(np.uint64)
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    x = np.zeros((len(raw) // 6, 8), np.uint8)
+    x[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return x.view(">u8").ravel().astype(np.uint64)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b[2].to_pylist(), b[3].to_pylist(), strict=True):
-                x, y = read(x), read(y)
+                x, y = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -179,6 +185,84 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, simi
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Deals each key's members to pairs (i, j) of its blocks; a member's own block is ``own``."""
+    d = members.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return d.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "blocks")
+
+
+def _cross(t: pa.Table, similarity: int, most: int):
+    """For each member of block i, the members of block j of another part that size and sketch allow."""
+    part, n, own = (t[c].to_numpy() for c in ("part", "n", "own"))
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    odd = np.array(t["odd"].to_pylist(), np.int64).reshape(len(part), -1).view(np.uint64)
+    rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for r in rows.tolist():
+        c = cols[(part[cols] != part[r]) & (np.minimum(n[cols], n[r]) * 100 >= np.maximum(n[cols], n[r]) * similarity)]
+        if i == j:
+            c = c[c > r]
+        if len(c):
+            c = c[np.bitwise_count(odd[c] ^ odd[r]).sum(1) <= most]
+            if len(c):
+                yield r, c
+
+
+def across(placed: DataFrame, size_and_odd: DataFrame, similarity: int) -> DataFrame:
+    """(key, node, part, n, odd): members of buckets with a possible link to another part."""
+    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("count")).where("x != y").select("key", "count")
+    dealt = _blocks(placed.join(mixed, "key").join(size_and_odd, "node").select("key", "node", "part", "n", "odd", "count"), F.ceil(F.col("count") / BLOCK)).drop("count")
+    most = most_odd_bits(similarity)
+
+    def possible(t: pa.Table) -> pa.Table:
+        hit = np.zeros(len(t), bool)
+        for r, c in _cross(t, similarity, most):
+            hit[r] = True
+            hit[c] = True
+        return t.select(["key", "node", "part", "n", "odd"]).filter(pa.array(hit))
+
+    named = dealt.groupBy("key", "i", "j").applyInArrow(possible, "key long, node long, part long, n long, odd array<long>")
+    return named.dropDuplicates(["key", "node"])
+
+
+def linked_across(possible: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): links between different parts, as many as join the parts of a block."""
+    size = possible.groupBy("key").agg(F.sum("n").alias("all"))
+    dealt = _blocks(possible.join(size, "key"), F.ceil(F.col("all") * 6 / BLOCK_BYTES)).drop("all").join(sets, "node").select("key", "i", "j", "own", "node", "part", "n", "odd", "set")
+    most = most_odd_bits(similarity)
+
+    def link(t: pa.Table) -> pa.Table:
+        sets = [_unpacked(x) for x in t["set"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        begins = np.cumsum(sizes) - sizes
+        kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        node, up, out = t["node"].to_numpy(), {}, []
+
+        def find(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        part = t["part"].to_pylist()
+        mask = np.zeros(len(kinds), bool)
+        for r, c in _cross(t, similarity, most):
+            own = ids[begins[r] : begins[r] + sizes[r]]
+            mask[own] = True
+            at = np.repeat(begins[c] - (np.cumsum(sizes[c]) - sizes[c]), sizes[c]) + np.arange(int(sizes[c].sum()))
+            both = np.add.reduceat(mask[ids[at]].astype(np.int64), np.cumsum(sizes[c]) - sizes[c])
+            mask[own] = False
+            for k in c[100 * both >= similarity * (sizes[c] + sizes[r] - both)].tolist():
+                x, y = find(part[r]), find(part[k])
+                if x != y:
+                    up[x] = y
+                    out.append((int(node[r]), int(node[k])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per input row."""
     spark, seed = docs.sparkSession, 0
@@ -197,40 +281,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     near = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     near = near.join(size_and_odd.toDF("a", "n_a", "odd_a"), "a").join(size_and_odd.toDF("b", "n_b", "odd_b"), "b").where(_may_be_linked(similarity)).select("a", "b")
     tried = cut(near, "tried")
-    links = cut(confirm(docs, nodes, tried, size, similarity), "links")
+    ends = tried.select(F.col("a").alias("node")).union(tried.select("b"))
+    links = cut(confirm(tried, full_sets(docs, nodes, ends, size), similarity), "links")
     parts = cut(components(links), "parts")
 
     # buckets whose members aren't all in one component yet
     placed = cut(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("count")).where("x != y").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    dealt = placed.join(mixed, "key").join(size_and_odd, "node").withColumn("own", own)
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "part", "n", "odd")
-    most = most_odd_bits(similarity)
-
-    def across(batches: Iterator[pa.Table]) -> pa.Table:
-        t = batches
-        node, part, n, own = (t[c].to_numpy() for c in ("node", "part", "n", "own"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        odd = np.array(t["odd"].to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a_out, b_out = [], []
-        for r in rows.tolist():
-            c = cols[(part[cols] != part[r]) & (np.minimum(n[cols], n[r]) * 100 >= np.maximum(n[cols], n[r]) * similarity)]
-            if i == j:
-                c = c[c > r]
-            if len(c):
-                c = c[np.bitwise_count(odd[c] ^ odd[r]).sum(1) <= most]
-                a_out += [np.maximum(node[c], node[r])]
-                b_out += [np.minimum(node[c], node[r])]
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(a_out), pa.int64()), "b": pa.array(cat(b_out), pa.int64())})
-
-    more = dealt.groupBy("key", "i", "j").applyInArrow(across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(more, "more")
-    if not more.isEmpty():
-        links = cut(links.union(confirm(docs, nodes, more, size, similarity)), "links")
-        parts = cut(components(links), "parts")
+    possible = cut(across(placed, size_and_odd, similarity), "possible")
+    if not possible.isEmpty():
+        more = cut(linked_across(possible, full_sets(docs, nodes, possible, size), similarity), "more")
+        if not more.isEmpty():
+            parts = cut(components(links.union(more)), "parts")
 
     named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
