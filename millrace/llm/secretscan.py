@@ -85,12 +85,18 @@ def _statistics(token: Column) -> Column:
     """-log10 of the combined p-value that structured text looks as random as ``token``."""
 
     def of(t: Column) -> Column:
-        n = F.length(t).cast("double")
         size = F.when(F.regexp_like(t, F.lit("^([0-9a-f]+|[0-9A-F]+)=*$")), F.lit(16.0)).when(F.regexp_like(t, F.lit("^[A-Z2-7]+=*$")), F.lit(32.0)).when(F.regexp_like(t, F.lit("^([0-9A-Z]+|[0-9a-z]+)=*$")), F.lit(36.0)).otherwise(F.lit(64.0))
-        codes = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.ascii(F.substring(t, i, F.lit(1))))
+        codes = F.transform(F.split(t, ""), lambda y: F.ascii(y))
+
+        # what a lambda reads is bound first: an expression inside it would be computed for every letter
+        def bound(x: Column) -> Column:
+            c = x["c"]
+            klass = F.transform(c, lambda y: F.when(y.between(48, 57), 0).when(y.between(65, 90), 1).when(y.between(97, 122), 2).otherwise(3))
+            m = F.aggregate(c, F.lit(0.0), lambda s, y: s + y) / F.size(c).cast("double")
+            return _let(F.struct(c.alias("c"), x["a"].alias("a"), klass.alias("klass"), m.alias("m")), battery)
 
         def battery(x: Column) -> Column:
-            c, a = x["c"], x["a"]
+            c, a, klass, m = x["c"], x["a"], x["klass"], x["m"]
             n_ = F.size(c).cast("double")
             # sum of squared letter counts = number of ordered equal pairs
             squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda s, v: s + F.pow(F.size(F.filter(c, lambda y: y == v)).cast("double"), F.lit(2.0)))
@@ -100,12 +106,10 @@ def _statistics(token: Column) -> Column:
             excess = F.when(a <= 16, F.lit(0.9)).when(a <= 36, F.lit(0.065) * a).otherwise(F.lit(0.042) * a)
             mean, var = (a - 1) + n_ * excess, 2 * (a - 1) + 4 * n_ * excess + n_ * excess
             p_even = _p_upper((mean - chi) / F.sqrt(var))
-            klass = F.transform(c, lambda y: F.when(y.between(48, 57), 0).when(y.between(65, 90), 1).when(y.between(97, 122), 2).otherwise(3))
             changes = F.size(F.filter(klass, lambda k, i: (i > 0) & (k != F.get(klass, i - 1)))).cast("double")
             # structured text keeps its class; mixed case and paths change it at every word
             rate = F.when(a <= 16, F.lit(0.2)).when(a <= 36, F.lit(0.08)).otherwise(F.lit(0.35))
             p_runs = _p_upper((changes - rate * (n_ - 1) - 0.5) / F.sqrt(rate * (1 - rate) * (n_ - 1) + 1))
-            m = F.aggregate(c, F.lit(0.0), lambda s, y: s + y) / n_
             v = F.aggregate(c, F.lit(0.0), lambda s, y: s + (y - m) * (y - m))
             lag = F.aggregate(F.transform(c, lambda y, i: F.when(i > 0, (y - m) * (F.get(c, i - 1) - m)).otherwise(0.0)), F.lit(0.0), lambda s, y: s + y)
             z = F.abs(F.when(v > 0, lag / v).otherwise(1.0)) * F.sqrt(n_)
@@ -117,7 +121,7 @@ def _statistics(token: Column) -> Column:
             tail = F.exp(-x2) * (1 + x2 + x2 * x2 / 2)
             return F.when(z > 4, F.lit(0.0)).otherwise(-F.log10(F.greatest(tail, F.lit(1e-39))))
 
-        return F.when(n > 4096, F.lit(0.0)).otherwise(_let(F.struct(codes.alias("c"), size.alias("a")), battery))
+        return _let(F.struct(codes.alias("c"), size.alias("a")), bound)
 
     return _let(token, of)
 

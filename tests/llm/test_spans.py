@@ -59,6 +59,20 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not [i for i in found if i >= 30]
 
 
+def test_long_random_tokens_are_found_and_long_words_are_not(spark):
+    import base64
+    import random
+
+    r = random.Random(5)
+    keys = [base64.urlsafe_b64encode(r.randbytes(n * 3 // 4)).decode() for n in (4096, 4100, 5000, 100_000)]
+    keys.append("".join(r.choice("0123456789ABCDEF") for _ in range(5000)))
+    words = [("CamelCaseIdentifiersAreNotRandom1/" * 3000)[:n] for n in (5000, 100_000)]
+    docs = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys + words)], "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in secretscan.span_digests(docs).collect()}
+    assert spans == {i: f"random:4:{4 + len(k)}" if i < len(keys) else "" for i, k in enumerate(keys + words)}
+    assert {x.text for x in secretscan.redact(docs).where("doc_id < 5").collect()} == {"see [SECRET] here"}
+
+
 def test_secrets_redacted(spark):
     docs = with_clashes(documents(spark).unionByName(awkward(spark)))
     out = secretscan.redact(docs)
