@@ -5,19 +5,23 @@ main container (``article``, else ``main``, else a content class), which are
 menus, notices, forms and the like, and which are undecided.
 
 Boilerplate is what a host repeats. The token streams outside main containers
-of a host's pages are concatenated and their suffixes sorted; two neighbours
-that share ``DEPTH`` tokens or more and belong to different pages show a
-repeated substring. Only that depth matters: a longer repeat is the union of
+of a host's pages are concatenated and their suffixes sorted; neighbours that
+share ``DEPTH`` tokens or more and belong to ``PAGES`` different pages or more
+show a repeated substring. Only that depth matters: a longer repeat is the union of
 the overlapping ones of ``DEPTH`` tokens, so suffixes are ordered to that depth
 by prefix doubling. Each task sorts the suffixes of its own batch, emits every
-class of equal suffixes once with the least and greatest page seen, and the
-classes meet by (host, class) in one partly aggregated shuffle; so a host with
-a third of all pages is gathered nowhere. Covered tokens are removed from the
-blocks that structure kept or left undecided; the unique runs stay.
-
-"Different pages" are pages of different html: exact copies are no evidence.
-A passage that only occurs inside main containers is content however often it
-is repeated. Null html is empty text. A null or broken url belongs to the
+class of equal suffixes with at most ``PAGES`` of its pages, and the classes
+meet by (host, class) in partly aggregated shuffles; so a host with a third of
+all pages is gathered nowhere. Runs of ``RUN`` covered tokens or more are removed
+from undecided blocks; the unique runs stay. Hosts where every page has a main
+container need none of this and skip it.
+
+"Different pages" differ in url and body: those of equal url and those whose
+text outside menus is nearly equal (MinHash, ``NEAR``) are linked, and each
+connected group counts once, so copies and recaptures are no evidence. From main
+containers only goes what undecided blocks of ``PAGES`` pages show; a passage that
+others show only in menus, asides and the like (a teaser) or in main containers
+is content however often it is repeated. Null html is empty text. A null or broken url belongs to the
 host "". Repeated rows, ties and null ids give one result row each; an empty
 table none. Only page_id, url and html are read.
 """
@@ -38,9 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, bits_set, cut, ship, small_batches
+from .graph import components
 
 #: Tokens that a repeated substring has at least; a power of two.
 DEPTH = 8
+#: Different pages that show a repeat at least, and tokens in a row that it covers.
+PAGES, RUN = 3, 12
+#: Least share of equal MinHash values of nearly equal pages; bands and values in each.
+NEAR, BANDS, BAND_ROWS = 0.7, 16, 4
 #: Bits of the filter that picks the pages to look at again (4 MB in all).
 FILTER_BITS = 1 << 25
 MAIN, OUTSIDE, UNDECIDED = 0, 1, 2
@@ -260,38 +269,97 @@ def _id64(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_CLASS = pa.struct([("class", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("page", pa.int64()), ("text", pa.string()), ("suffixes", pa.list_(_CLASS))])
-_READ_DDL = "page_id long, url string, host long, page long, text string, suffixes array<struct<`class`:long,lo:long,hi:long>>"
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("page", pa.int64()), ("main", pa.bool_()), ("text", pa.string()), ("around", pa.string()), ("roles", pa.string())])
+_READ_DDL = "page_id long, url string, host long, page long, main boolean, text string, around string, roles string"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with what structure keeps; a host's suffix classes lie with its first page of the batch."""
+    """Pages with what structure keeps, and their blocks outside main containers with a digit for each one's role."""
     for b in batches:
         if not b.num_rows:
             continue
-        rows, streams, first = [], {}, {}
+        rows = []
         for page_id, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
             blocks = parse(page or "")
-            host = _id64(host_of(url))
-            first.setdefault(host, len(rows))
-            rows.append([page_id, url, host, _id64(page or ""), "\n\n".join([t for role, t in blocks if role != OUTSIDE]), None])
-            streams.setdefault(host, []).append((rows[-1][3], " ".join([t for role, t in blocks if role != MAIN])))
-        for host, own in streams.items():
-            tokens, owner = _tokens([t for _, t in own])
-            order, rank = suffix_classes(tokens, owner)
-            if len(order):
-                at = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
-                who = np.array([i for i, _ in own], np.int64)[owner[order]]
-                lo, hi = np.minimum.reduceat(who, at), np.maximum.reduceat(who, at)
-                rows[first[host]][5] = [{"class": c, "lo": x, "hi": y} for c, x, y in zip(_classes(tokens)[order[at]].view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            around = [(role, t) for role, t in blocks if role != MAIN]
+            rows.append((page_id, url, _id64(host_of(url)), _id64(page or ""), all(role != UNDECIDED for role, _ in blocks), "\n\n".join([t for role, t in blocks if role != OUTSIDE]), "\n\n".join([t for _, t in around]), "".join([str(role) for role, _ in around])))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
 
+_SKETCH = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("values", pa.list_(pa.int64()))])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MinHash values of each page's body, and keys (bands and url) that linked pages of a host share."""
+    seeds = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        node, host, url, text, around = (b[k] for k in ("node", "host", "url", "text", "around"))
+        hosts, urls = host.to_numpy().view(np.uint64), [(u or "").strip() for u in url.to_pylist()]
+        keys, values = [], []
+        for i, (t, other) in enumerate(zip(text.to_pylist(), around.to_pylist(), strict=True)):
+            h, _ = _tokens([t or other or ""])
+            with np.errstate(over="ignore"):
+                pairs = h[:-1] * _P + h[1:] if len(h) > 1 else np.r_[h, np.zeros(int(not len(h)), np.uint64)]
+                x = (pairs ^ (pairs >> np.uint64(31))) * seeds
+                least = (x ^ (x >> np.uint64(29))).min(1)
+                bands = np.arange(BANDS, dtype=np.uint64) + hosts[i]
+                for v in least.reshape(BANDS, BAND_ROWS).T:
+                    bands = (bands * _P ^ (bands >> np.uint64(32))) + v
+            own = bands.view(np.int64).tolist()
+            keys.append([*own, _id64(f"{hosts[i]} {urls[i]}")] if urls[i] else own)
+            values.append(least.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([node, pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], schema=_SKETCH)
+
+
+def same_pages(pages: DataFrame) -> DataFrame:
+    """(node, component) of pages (node, host, url, text, around) that have others of equal url or nearly equal body."""
+    sketch = cut(pages.mapInArrow(_sketch, "node long, `keys` array<long>, `values` array<long>"), "sketches")
+    keys = sketch.select("node", F.posexplode("keys").alias("at", "key"))
+    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
+    near = cut(keys.join(least, "key").where("node != least").groupBy("node", "least").agg(F.max("at").alias("at")), "near")
+    bodies = sketch.groupBy("node").agg(F.first("values").alias("values"))
+    other = bodies.join(near.select(F.col("least").alias("node")).distinct(), "node").toDF("least", "others")
+    equal = F.aggregate(F.zip_with("values", "others", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    edges = near.join(bodies, "node").join(other, "least").where((F.col("at") == BANDS) | (equal >= NEAR * BANDS * BAND_ROWS))
+    return components(cut(edges.select(F.col("node").alias("a"), F.col("least").alias("b")), "same"))
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix classes of each host's pages in the batch, with up to PAGES of their groups of pages, in any blocks and in undecided ones."""
+    for b in batches:
+        hosts = b["host"].to_numpy()
+        for host in np.unique(hosts).tolist():
+            own = b.filter(pa.array(hosts == host))
+            texts = own["around"].to_pylist()
+            tokens, owner = _tokens(texts)
+            order, rank = suffix_classes(tokens, owner)
+            if not len(order):
+                continue
+            free = np.concatenate([np.repeat(r == str(UNDECIDED), len(x.split(" "))) for t, roles in zip(texts, own["roles"].to_pylist(), strict=True) if t for x, r in zip(t.split("\n\n"), roles, strict=True)])
+            runs = np.r_[0, np.cumsum(free)]
+            free = (runs[DEPTH:] - runs[:-DEPTH])[order] == DEPTH
+            groups, group = np.unique(own["component"].to_numpy(), return_inverse=True)
+            pair = rank * len(groups) + group[owner[order]]
+            name = _classes(tokens)[order].view(np.int64)
+            for only, is_free in ((free, True), (slice(None), False)):
+                found, at = np.unique(pair[only], return_index=True)
+                first = np.flatnonzero(np.r_[True, np.diff(found // len(groups)) > 0])[: len(found)]
+                nth = np.arange(len(found)) - np.repeat(first, np.diff(np.r_[first, len(found)]))
+                at, found = at[nth < PAGES], found[nth < PAGES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), host, np.int64)), pa.array(name[only][at]), pa.array(groups[found % len(groups)]), pa.array(np.full(len(at), int(is_free), np.int32))], names=["host", "class", "component", "free"])
+
+
 def repeats(read: DataFrame) -> DataFrame:
-    """(host, class): suffix classes outside main containers that two different pages of a host share."""
-    classes = read.where("suffixes is not null").select("host", F.explode("suffixes").alias("s")).select("host", "s.*")
-    return classes.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "class")
+    """(host, class, free): suffix classes outside main containers that PAGES different pages of a host share, and whether in undecided blocks."""
+    asking = cut(read.where("not main").select("host").distinct(), "asking")  # its size is known, so a small one is broadcast
+    pages = cut(read.join(asking, "host", "left_semi").select(F.col("host").bitwiseXOR(F.col("page")).alias("node"), "host", "url", "text", "around", "roles"), "undecided")
+    same = cut(same_pages(pages), "groups")
+    counted = pages.join(same, "node", "left").select("host", F.coalesce("component", "node").alias("component"), "around", "roles")
+    classes = counted.mapInArrow(_suffixes, "host long, `class` long, component long, free int")
+    by_page = classes.groupBy("host", "class", "component").agg(F.max("free").alias("free"))
+    return by_page.groupBy("host", "class").agg(F.count("*").alias("n"), F.sum("free").alias("free")).where(F.col("n") >= PAGES).select("host", "class", (F.col("free") >= PAGES).alias("free"))
 
 
 def unique_runs(text: str, removed: np.ndarray) -> str:
@@ -307,6 +375,9 @@ def unique_runs(text: str, removed: np.ndarray) -> str:
     at = np.flatnonzero(np.isin(_classes(tokens), removed))
 
     def left(starts: np.ndarray) -> np.ndarray:
+        edge = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
+        size = np.diff(np.r_[edge, len(starts)])
+        starts = starts[np.repeat(size > RUN - DEPTH, size)]
         covered = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(covered, starts, 1)
         np.add.at(covered, starts + DEPTH, -1)
@@ -324,7 +395,7 @@ def unique_runs(text: str, removed: np.ndarray) -> str:
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 _OUT_DDL = "page_id long, url string, text string, n_chars long"
-_DOUBT_DDL = "page_id long, url string, host long, page long, text string, classes array<long>"
+_DOUBT_DDL = "page_id long, url string, host long, page long, main boolean, text string, classes array<long>"
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -361,7 +432,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 c, own = classes(b)
                 at = np.unique(own)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array([np.unique(c[own == i]) for i in at], pa.list_(pa.int64()))], names=["page_id", "url", "host", "page", "text", "classes"])
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array([np.unique(c[own == i]) for i in at], pa.list_(pa.int64()))], names=["page_id", "url", "host", "page", "main", "text", "classes"])
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,10 +440,10 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts = [unique_runs(t, np.array(gone, np.int64).view(np.uint64)) if gone else t for t, gone in zip(b["text"].to_pylist(), b["gone"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=_OUT)
 
-    kept = read.select("page_id", "url", "host", "page", "text")
+    kept = read.select("page_id", "url", "host", "page", "main", "text")
     doubt = cut(kept.mapInArrow(doubtful, _DOUBT_DDL), "doubtful")
     # copies of a page ask the same, so they fall together before the join
-    asked = doubt.select("host", "page", F.explode("classes").alias("class")).distinct().join(found, ["host", "class"])
+    asked = doubt.select("host", "page", "main", F.explode("classes").alias("class")).distinct().join(found, ["host", "class"]).where("free or not main")
     gone = asked.groupBy("host", "page").agg(F.collect_list("class").alias("gone"))
     mended = doubt.join(gone, ["host", "page"], "left").select("page_id", "url", "text", "gone").mapInArrow(mend, _OUT_DDL)
     return kept.mapInArrow(plain, _OUT_DDL).unionByName(mended)

@@ -50,6 +50,37 @@ def test_host_repeats_go(spark):
     assert htmltext.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_recaptures_are_no_evidence(spark):
+    text = "the council met on monday evening to vote about the new bridge and after a long debate the plan was passed with nine votes against four"
+    page = f"<p>{text}</p><p>work on the river bank starts next spring and the road will be closed for about two years from then on</p>"
+    rows = [(i, f"http://r.org/{i}", f"<p>seen {i} times</p>{page}") for i in range(6)]
+    rows += [(10 + i, "http://u.org/one", f"<p>{text} {' '.join(f'a{i}x{k}' for k in range(30))}</p>") for i in range(4)]
+    by = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(6):
+        assert by[i] == "\n\n".join(main(rows[i][2])) and text in by[i]
+    assert all(text in by[10 + i] for i in range(4))
+
+
+def test_teasers_take_nothing_from_articles(spark):
+    head = "council votes for the new bridge across the river after a debate of nine long hours"
+    rows = [(0, "http://t.org/0", f"<article><h1>{head}</h1><p>story</p></article>")]
+    rows += [(i, f"http://t.org/{i}", f"<aside><a>{head}</a></aside><article>other story {i}</article>") for i in range(1, 5)]
+    rows += [(i, f"http://t.org/{i}", f"<aside><a>{head}</a></aside><p>{' '.join(f'b{i}x{k}' for k in range(20))}</p>") for i in range(5, 9)]
+    by = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert by[0] == f"{head}\n\nstory" and by[6].startswith("b6x0 ")
+
+
+def test_two_pages_or_a_short_run_are_no_evidence(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    short = " ".join(line.split()[:9])
+    own = lambda i: " ".join(f"c{i}x{k}" for k in range(30))
+    rows = [(i, f"http://two.org/{i}", f"<p>{own(i)}</p><p>{line}</p>") for i in range(2)]
+    rows += [(i, f"http://three.org/{i}", f"<p>{own(i)}</p><p>{line}</p><p>{own(i)}</p><p>{short}</p>") for i in range(2, 5)]
+    by = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(by[i] == f"{own(i)}\n\n{line}" for i in range(2))
+    assert all(by[i] == f"{own(i)}\n\n{own(i)}\n\n{short}" for i in range(2, 5))
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(1)
     texts = [" ".join(map(str, rng.integers(0, 2, rng.integers(0, 40)))) for _ in range(30)]
