@@ -187,6 +187,7 @@ pipeline(
     'SELECT n_name AS "_id", round(sum(o_totalprice), 2) AS revenue, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1',
 )
 pipeline("union_with", "customer", [{"$project": {"k": "$c_custkey", "name": "$c_name"}}, {"$unionWith": {"coll": "supplier", "pipeline": [{"$project": {"k": "$s_suppkey", "name": "$s_name"}}]}}, {"$match": {"k": {"$lte": 5}}}], "SELECT * FROM (SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier) WHERE k <= 5")
+pipeline("union_with_whole", "customer", [{"$project": {"k": "$c_custkey", "name": "$c_name"}}, {"$unionWith": {"coll": "supplier", "pipeline": [{"$project": {"k": "$s_suppkey", "name": "$s_name"}}]}}], "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 pipeline("facet", "part", [{"$facet": {"brands": [{"$sortByCount": "$p_brand"}, {"$count": "n"}], "large": [{"$match": {"p_size": {"$gt": 40}}}, {"$count": "n"}]}}, {"$project": {"brands": {"$first": "$brands.n"}, "large": {"$first": "$large.n"}}}], "SELECT count(DISTINCT p_brand) AS brands, count(*) FILTER (p_size > 40) AS large FROM part")
 
 
@@ -259,6 +260,17 @@ pipeline(
     ],
     "SELECT user_id AS \"_id\", date_diff('day', min(date_trunc('day', ts)), max(date_trunc('day', ts))) + 1 AS days, count(*) AS events FROM events WHERE user_id <= 20 GROUP BY 1",
 )
+pipeline(
+    "densify_whole",
+    "events",
+    [
+        {"$group": {"_id": {"u": "$user_id", "d": {"$dateTrunc": {"date": "$ts", "unit": "day"}}}, "n": {"$sum": 1}}},
+        {"$project": {"_id": 0, "u": "$_id.u", "d": "$_id.d", "n": 1}},
+        {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "unit": "day", "bounds": "partition"}}},
+        {"$group": {"_id": "$u", "days": {"$sum": 1}, "events": {"$sum": "$n"}}},
+    ],
+    "SELECT user_id AS \"_id\", date_diff('day', min(date_trunc('day', ts)), max(date_trunc('day', ts))) + 1 AS days, count(*) AS events FROM events GROUP BY 1",
+)
 pipeline(
     "window_calculus",
     "orders",
