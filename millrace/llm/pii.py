@@ -15,6 +15,7 @@ empty: no spans, digest of the empty string. Rows are handled alone.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -98,7 +99,8 @@ _GENERATORS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     "email_disguised": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.ASCII | re.IGNORECASE),
-    "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"),
+    # four groups or more, or a '::' at any place; perhaps an IPv4 tail
+    "ipv6": re.compile(r"(?<![0-9A-Za-z_:])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){3})(?:[0-9A-Fa-f]{1,4}|(?=::))(?:::?[0-9A-Fa-f]{1,4}){0,8}(?:(?:\.[0-9]{1,3}){3}|::)?(?![0-9A-Za-z_]|:[0-9A-Fa-f:])"),
     "birth_date": re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])"),
 }
 _CUES = {
@@ -111,6 +113,10 @@ _CUES = {
 }
 _AGAINST = ("version", "part", "order", "sku", "isbn", "invoice", "serial", "ref", "page", "table", "figure", "no.", "id", "code", "published", "updated", "release", "mac")
 _WORD = re.compile(r"[a-z.-]+")
+#: What the pattern of disguised addresses takes for an @, in lower case.
+_AT = ("[at]", "(at)", "{at}", " at ")
+#: The end of an address whose dots are written out or stand tight, by its last label.
+_TOP = re.compile(r"(?:[A-Za-z0-9-]\.| dot |[\])}] ?)(?:com|org|net|edu|gov|info|biz|io|co|ai|eu|uk|de|fr|es|it|nl|ch|at|be|pl|us|ca|au|jp)$", re.I)
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -121,9 +127,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in _GENERATORS.items():
         if kind == "email_disguised":
             lower = text.lower() if lower is None else lower
-            if "at" not in lower or not ("dot" in lower or "[at]" in lower or "(at)" in lower or "{at}" in lower):
+            if not any(x in lower for x in _AT) or not ("dot" in lower or "." in lower):
                 continue
-        elif not has_digit or (kind == "ipv6" and ":" not in text):
+        elif kind == "ipv6":
+            if text.count(":") < 2:
+                continue
+        elif not has_digit:
             continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
@@ -134,6 +143,14 @@ def _mod97(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        ipaddress.IPv6Address(s)
+        return True
+    except ValueError:
+        return False
+
+
 def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
     """Format and context of one candidate."""
     s, before, after = text[lo:hi], text[max(0, lo - 40) : lo].lower(), text[hi : hi + 20].lower()
@@ -151,8 +168,9 @@ def features(text: str, kind: str, lo: int, hi: int) -> list[float]:
         valid = float(d[0] not in "01" and d[3] not in "01")
     elif kind == "email_disguised":
         valid = float(bool(re.search(r"[\[({]at[\])}]", s, re.I)) + bool(re.search(r"[\[({]dot[\])}]", s, re.I)))
+        valid += 0.5 * bool(_TOP.search(s))
     elif kind == "ipv6":
-        valid = float(s.count(":") == 7 or "::" in s)
+        valid = float(_is_ipv6(s))
     elif kind == "birth_date":
         valid = float(1900 <= int(next(x for x in re.split(r"[./-]", s) if len(x) == 4)) <= 2012)
     return [
@@ -168,6 +186,20 @@ def _iban(r: random.Random, good: bool) -> str:
     return f"{land}{check:02d}{body}"
 
 
+def _ipv6(r: random.Random) -> str:
+    """A valid address: whole, or with '::' at any place, at times with an IPv4 tail."""
+    n = lambda: f"{r.getrandbits(r.choice((4, 8, 16, 16))):x}"
+    if r.random() < 0.3:
+        return ":".join(f"{r.getrandbits(16):x}" for _ in range(8))
+    ahead = r.choice((["2001", "db8"], ["fe80"], ["fd00", n()], [], [f"{r.getrandbits(16):x}", n(), n()], [n() for _ in range(r.randint(1, 6))]))
+    after = [n() for _ in range(r.randint(0 if len(ahead) > 1 else 1, 7 - len(ahead)))]
+    if not ahead and r.random() < 0.4:
+        after = ["1"]
+    if 0 < len(after) < 6 - len(ahead) and r.random() < 0.1:
+        after[-1] = ".".join(str(r.randint(0, 255)) for _ in range(4))
+    return f"{':'.join(ahead)}::{':'.join(after)}"
+
+
 def _example(r: random.Random) -> tuple[str, str, int, int, int]:
     """One generated candidate in context: (text, kind, start, end, label)."""
     kind, good = r.choice(MORE), r.random() < 0.5
@@ -182,9 +214,12 @@ def _example(r: random.Random) -> tuple[str, str, int, int, int]:
         s = _iban(r, good)
     elif kind == "email_disguised":
         who, host, end = r.choice(("joan.k", "info", "m_weber", "pat99")), r.choice(("mail", "example", "corp-net")), r.choice(("com", "org", "de"))
-        s = r.choice((f"{who} [at] {host} [dot] {end}", f"{who}(at){host}(dot){end}", f"{who} [at] {host}.{end}")) if good else f"{r.choice(('look', 'meet', 'arrive', 'stood'))} at {r.choice(('the', 'noon', 'home'))}{r.choice((' dot ', '. '))}{r.choice(('com', 'then', 'later', 'She'))}"
+        if good:
+            s = r.choice((f"{who} [at] {host} [dot] {end}", f"{who}(at){host}(dot){end}", f"{who} [at] {host}.{end}", f"{who} at {host} dot {end}", f"{who} at {host}.{end}", f"{who} at {host} dot {end}"))
+        else:
+            s = f"{r.choice(('look', 'meet', 'arrive', 'stood'))} at {r.choice(('the', 'noon', 'home'))}{r.choice((' dot ', '. ', '. ', '. '))}{r.choice(('com', 'then', 'later', 'She', 'It'))}"
     elif kind == "ipv6":
-        s = ":".join(f"{r.getrandbits(16):x}" for _ in range(8)) if good else ":".join(f"{r.randint(0, 59):02d}" for _ in range(r.randint(4, 7)))
+        s = _ipv6(r) if good else r.choice((":".join(f"{r.randint(0, 59):02d}" for _ in range(r.randint(4, 7))), ":".join(f"{r.getrandbits(8):02x}" for _ in range(6)), r.choice(("::", "a::b", "ab::add", "face::add", "bad::cafe", "::add", "12:30::", "::Face"))))
     else:
         s = f"{r.randint(1, 28):02d}{r.choice('./-')}{r.randint(1, 12):02d}{r.choice('./-')}{r.randint(1930, 2010) if good else r.randint(1990, 2030)}"
     filler = [r.choice(("the", "then", "of", "was", "with", "on", "file", "new", "and", "for", "reading")) for _ in range(r.randint(0, 5))]

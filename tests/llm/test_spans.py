@@ -123,3 +123,28 @@ def test_trees_select(spark):
         right += hit == bool(label)
     assert right / len(rows) > 0.85
     assert pii.redact(TRICKY[10], [s for part in pii.found([TRICKY[10]], trained)[0] for s in part]).count("[") >= 3
+
+
+def test_every_ipv6_form_is_proposed():
+    import ipaddress
+    import random
+
+    r = random.Random(4)
+    forms = ["2001:db8::1", "fe80::1", "fe80::a:b:c:d", "2001:db8:85a3::8a2e:370:7334", "::1", "::", "2001:db8::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "dead::beef", "::ffff:192.0.2.1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:192.0.2.1"]
+    forms += [str(ipaddress.IPv6Address(r.getrandbits(128) & r.choice((-1, ~(0xFFFFFFFF << 16 * r.randint(0, 6)))))) for _ in range(300)]
+    for f in forms:
+        for text in (f"ip {f} ", f"[{f}]:80", f"{f}.", f"x {f}: y", f"{f}/64", f"{f}%eth0"):
+            assert ("ipv6", text.index(f), text.index(f) + len(f)) in pii.candidates(text), text
+    assert not [c for t in ("12:30:45", "std::add", "Foo::bar", "1:2:3:4:5:6:7:8:9:10:11") for c in pii.candidates(t)]
+
+
+def test_compressed_and_plain_disguised_addresses_are_found():
+    trained = pii.model()
+    for f in ("2001:db8::1", "fe80::1", "fe80::a:b:c:d", "2001:db8:85a3::8a2e:370:7334", "::1", "2001:db8::ff00:42:8329"):
+        text = f"login of the client ip: {f} and so on"
+        assert pii.found([text], trained)[0][1] == [("ipv6", 24, 24 + len(f))], text
+    for f in ("joan.k at example dot com", "pat99 at mail dot org", "m_weber at corp-net.de"):
+        text = f"write a mail: {f}, then"
+        assert pii.found([text], trained)[0][1] == [("email_disguised", 14, 14 + len(f))], text
+    for text in ("we will meet at noon. She was late", "use ab::add here", "part 00:1b:44:11:3a:b7 of", "he stood at home. It rained"):
+        assert pii.found([text], trained)[0][1] == [], text
