@@ -5,7 +5,8 @@ from those of the highest: a lower order counts the distinct characters seen
 before a gram. Discounted probabilities and interpolation weights of all
 languages lie beside each other in arrays sorted by gram hash, and a text's
 grams are looked up by binary search. The language of lowest cross-entropy a
-character is chosen; a calibrated score and a rejection come with it.
+character is chosen; a calibrated score and a rejection come with it. Languages
+with fewer than ``OWN_ROWS`` calibration rows, or none, have a limit too, a wider one.
 
 The models are fitted on a bounded sample of labelled rows: about
 ``SAMPLE_DOCS`` whole texts of each language, chosen by a hash of the id among
@@ -41,6 +42,9 @@ MAX_GRAMS = 3_000_000
 #: Cross-entropy a character from which a text counts as no language at all is the
 #: calibration rows' mean plus this many deviations, wider for short texts.
 REJECT_DEVIATIONS = 8.0
+#: Calibration rows from which a language's own mean and deviation decide alone, and the
+#: rows that the stand-ins count for where there are fewer.
+OWN_ROWS, PRIOR_ROWS = 20, 2
 _BITS, _PAD = 12, 1
 _MASK = np.uint64((1 << _BITS) - 1)
 _letters: np.ndarray | None = None
@@ -160,7 +164,9 @@ class Models:
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Fit the score's sharpness and the rejection limits on rows not counted."""
-        self.limits = np.tile([math.inf, 0.0], (len(self.langs), 1))
+        # a language without rows: worse than a uniform guess among its symbols is no language
+        chance = np.log1p((self.grams[0][1] > 0).sum(0))
+        self.limits = np.stack([chance, np.full(len(chance), REJECT_DEVIATIONS * 0.5)], 1)
         if not texts:
             return
         ce, n, letters = self.entropies(texts)
@@ -176,12 +182,17 @@ class Models:
             return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))).mean())
 
         self.sharpness = min((0.02 * 1.25**i for i in range(20)), key=loss)
-        for j in range(len(self.langs)):
-            own = truth == j
-            if own.sum() >= 20:
-                mean = ce[own, j].mean()
-                dev = (ce[own, j] - mean) * np.sqrt(np.minimum(n[own], 400))
-                self.limits[j] = mean, REJECT_DEVIATIONS * max(dev.std(), 0.5)
+        kinds = np.bincount(truth, minlength=len(self.langs))
+        own = ce[np.arange(len(ce)), truth]
+        means = np.bincount(truth, own, len(self.langs)) / np.maximum(kinds, 1)
+        dev = (own - means[truth]) * np.sqrt(np.minimum(n, 400))
+        pooled = (dev**2).sum() / max(1, len(dev) - (kinds > 0).sum())
+        for j, k in enumerate(kinds.tolist()):
+            mean, var = means[j], dev[truth == j].var() if k else 0.0
+            if k < OWN_ROWS:  # the mean is drawn to chance, the deviation to that of all languages
+                mean = (k * mean + PRIOR_ROWS * chance[j]) / (k + PRIOR_ROWS)
+                var = (k * var + PRIOR_ROWS * pooled) / (k + PRIOR_ROWS)
+            self.limits[j] = mean, REJECT_DEVIATIONS * max(math.sqrt(var), 0.5)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool, float | None]]:
         """(language, score, rejected, cross-entropy) for each text."""

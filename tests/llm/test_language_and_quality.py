@@ -72,3 +72,18 @@ def test_order_changes_no_verdict(spark, sf):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == good
     order = quality.order_rules(docs, quality.BASE + quality.RULES)
     assert {r.name for r in order} == {r.name for r in quality.BASE + quality.RULES}
+
+
+def test_rare_languages_reject_too(spark, sf01):
+    import random
+
+    r = random.Random(1)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (20, 40, 100, 300)]
+    docs = [x for x in table(spark, sf01, "documents").orderBy("doc_id").collect() if x.lang and len(x.text or "") > 30]
+    for size in (3, 30):
+        own = {lang: [x for x in docs if x.lang == lang] for lang in ("fr", "es")}
+        models = langid.train(spark.createDataFrame([(x.doc_id, x.text, x.lang) for v in own.values() for x in v[:size]], "doc_id long, text string, lang string"))
+        assert models.langs == ["es", "fr"]
+        assert all(x[2] for x in models.predict(noise))
+        kept = [not x[2] for x in models.predict([x.text for v in own.values() for x in v[size:]])]
+        assert sum(kept) / len(kept) > 0.99
