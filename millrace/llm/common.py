@@ -27,15 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Where the session names none, a local session (tests) gets a temporary
+    folder; on a cluster that would lie on one machine's disk, so it raises.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = _local_dirs.get(sc.applicationId)
+        if not where:
+            where = _local_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return where.rstrip("/")
 
 
@@ -44,21 +52,38 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later steps then depend on committed files and not on any executor.
+    Later steps then depend on committed files and not on any executor. The
+    files go when ``discard`` is called or the driver ends.
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends; it is made if it isn't there."""
+    fs, p = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` returned and nothing reads any more."""
+    for t in tables:
+        fs, p = _path(t.sparkSession, t._cut_path)
+        fs.delete(p, True)
 
 
 _SHIPPED: set[str] = set()

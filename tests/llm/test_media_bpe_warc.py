@@ -86,3 +86,30 @@ def test_warc_index(spark, sf):
         assert any(p == r.html.encode() for _, _, p in found) or all(h["WARC-Type"] == "revisit" for h, _, _ in found)
     assert index.lookup("http://nowhere.example/") == []
     assert index.keys == sorted(index.keys)
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_warc_equal_payloads_and_odd_urls(spark, monkeypatch, hot):
+    """Against plain code, with the repeated payloads joined (hot = 1) and with them written where they are read."""
+    import base64
+
+    monkeypatch.setattr(warc, "HOT", hot)
+    r = random.Random(9)
+    urls = [None, "", "http://a.org/\x01\x1f x", "http://a.org/~a b", "HTTP://WWW.a.org/~a b", "http://b.org/", "\x7f\x00", "http://é.org/ü?q=1"]
+    rows = [(i, r.choice(urls), r.choice([None, "", "same" * 50, "é" * 9, f"own {i}"]), "x") for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, sha string").selectExpr("*", "1 AS key", "2 AS keeper", "3 AS file", "4 AS n")
+    keeper = {}
+    for i, _, h, _ in rows:
+        keeper[h or ""] = max(i, keeper.get(h or "", 0))
+    want = []
+    for i, _, h, _ in rows:
+        raw, k = (h or "").encode(), keeper[h or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == k else "revisit", None if i == k else k))
+    assert sorted(map(tuple, warc.archive_round_trip(spark, docs).collect())) == want
+    root = scratch(spark, "with a blank")
+    captures = warc.write_archives(docs, root)
+    assert sorted(map(tuple, warc.read_archives(captures).collect())) == want
+    index = warc.build_index(captures, root, block_rows=7)
+    assert sorted(map(tuple, warc.lookup_all(docs.select("url"), index).collect())) == want
+    some = docs.where("url = 'http://b.org/' or url = ''").select("url")
+    assert sorted(x.page_id for x in warc.lookup_all(some, index).collect()) == [i for i, u, _, _ in rows if u in (None, "", "http://b.org/")]
