@@ -52,7 +52,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str, partition: str | None = None) -> DataFrame:
+def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later steps then depend on committed files and not on any executor. The
@@ -60,7 +60,7 @@ def cut(df: DataFrame, tag: str, partition: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    df.write.parquet(path, compression="zstd")
     until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path

@@ -4,17 +4,19 @@
 main container (``article``, else ``main``, else a content class), which are
 menus, notices, forms and the like, and which are undecided.
 
-Boilerplate is what a host repeats. The token streams outside main containers
-of a host's pages are concatenated and their suffixes sorted; neighbours that
-share ``DEPTH`` tokens or more and belong to ``PAGES`` different pages or more
-show a repeated substring. Only that depth matters: a longer repeat is the union of
-the overlapping ones of ``DEPTH`` tokens, so suffixes are ordered to that depth
-by prefix doubling. Each task sorts the suffixes of its own batch, emits every
+Boilerplate is what a host repeats: substrings of ``DEPTH`` tokens or more, in
+blocks outside main containers, that ``PAGES`` different pages or more show. The
+token streams of a host's pages are concatenated and their suffixes sorted;
+neighbours that share ``DEPTH`` tokens are one class, and a place is covered if a
+class of enough pages begins up to ``DEPTH - 1`` tokens before it. Suffixes
+needn't be sorted further: a longer repeat is the union of the overlapping ones
+of ``DEPTH`` tokens. They are ordered by prefix doubling, and the last step
+joins two ranks that overlap. Each task sorts the suffixes of its own batch, emits every
 class of equal suffixes with at most ``PAGES`` of its pages, and the classes
 meet by (host, class) in partly aggregated shuffles; so a host with a third of
-all pages is gathered nowhere. Runs of ``RUN`` covered tokens or more are removed
-from undecided blocks; the unique runs stay. Hosts where every page has a main
-container need none of this and skip it.
+all pages is gathered nowhere. Covered runs are removed from undecided blocks; the
+unique runs stay. Hosts where every page has a main container need none of
+this and skip it.
 
 "Different pages" differ in url and body: those of equal url and those whose
 text outside menus is nearly equal (MinHash, ``NEAR``) are linked, and each
@@ -44,10 +46,8 @@ from pyspark.sql import functions as F
 from .common import bit_filter, bits_set, cut, ship, small_batches
 from .graph import components
 
-#: Tokens that a repeated substring has at least; a power of two.
-DEPTH = 8
-#: Different pages that show a repeat at least, and tokens in a row that it covers.
-PAGES, RUN = 3, 12
+#: Tokens that a repeated substring has at least, and the different pages that show it.
+DEPTH, PAGES = 12, 3
 #: Least share of equal MinHash values of nearly equal pages; bands and values in each.
 NEAR, BANDS, BAND_ROWS = 0.7, 16, 4
 #: Bits of the filter that picks the pages to look at again (4 MB in all).
@@ -234,10 +234,11 @@ def _classes(tokens: np.ndarray) -> np.ndarray:
     """A hash of the DEPTH tokens that begin at each place."""
     h, k = tokens, 1
     with np.errstate(over="ignore"):
-        while k < DEPTH and len(h) > k:
-            h = (h[:-k] * _P ^ (h[:-k] >> np.uint64(29))) * np.uint64(2 * k + 1) + h[k:]
-            k *= 2
-    return h if k == DEPTH else h[:0]
+        while k < DEPTH and len(tokens) >= DEPTH:
+            more = min(k, DEPTH - k)
+            h = (h[:-more] * _P ^ (h[:-more] >> np.uint64(29))) * np.uint64(2 * k + 1) + h[more:]
+            k += more
+    return h if len(tokens) >= DEPTH else h[:0]
 
 
 def suffix_classes(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +250,10 @@ def suffix_classes(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, n
     """
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     k = 1
-    while k < DEPTH and len(rank) > k:  # prefix doubling: ranks by 2k tokens from ranks by k
-        rank = np.unique(rank[:-k] * (int(rank.max()) + 1) + rank[k:], return_inverse=True)[1].astype(np.int64)
-        k *= 2
+    while k < DEPTH and len(tokens) >= DEPTH:  # prefix doubling: ranks by 2k tokens, in the end by DEPTH, from ranks by k
+        more = min(k, DEPTH - k)
+        rank = np.unique(rank[:-more] * (int(rank.max()) + 1) + rank[more:], return_inverse=True)[1].astype(np.int64)
+        k += more
     places = np.arange(max(0, len(tokens) - DEPTH + 1))
     places = places[owner[places] == owner[places + DEPTH - 1]]
     order = places[np.argsort(rank[places], kind="stable")] if len(places) else places
@@ -351,10 +353,23 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), host, np.int64)), pa.array(name[only][at]), pa.array(groups[found % len(groups)]), pa.array(np.full(len(at), int(is_free), np.int32))], names=["host", "class", "component", "free"])
 
 
+_ASKED = ("node", "host", "url", "text", "around", "roles")
+
+
 def repeats(read: DataFrame) -> DataFrame:
     """(host, class, free): suffix classes outside main containers that PAGES different pages of a host share, and whether in undecided blocks."""
-    asking = cut(read.where("not main").select("host").distinct(), "asking")  # its size is known, so a small one is broadcast
-    pages = cut(read.join(asking, "host", "left_semi").select(F.col("host").bitwiseXOR(F.col("page")).alias("node"), "host", "url", "text", "around", "roles"), "undecided")
+    spark = read.sparkSession
+    asking = spark.sparkContext.broadcast(bit_filter(F.col("host"), read.where("not main").select("host"), FILTER_BITS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages of hosts that have an undecided page; one let through by chance adds nothing that is asked for."""
+        for b in batches:
+            if b.num_rows:
+                own = b.filter(pa.array(bits_set(asking.value, b["host"].to_numpy() & np.int64(FILTER_BITS - 1))))
+                node = own["host"].to_numpy() ^ own["page"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(own[c] for c in _ASKED[1:])], names=list(_ASKED))
+
+    pages = read.select("host", "page", *_ASKED[2:]).mapInArrow(ask, "node long, host long, url string, text string, around string, roles string")
     same = cut(same_pages(pages), "groups")
     counted = pages.join(same, "node", "left").select("host", F.coalesce("component", "node").alias("component"), "around", "roles")
     classes = counted.mapInArrow(_suffixes, "host long, `class` long, component long, free int")
@@ -375,9 +390,6 @@ def unique_runs(text: str, removed: np.ndarray) -> str:
     at = np.flatnonzero(np.isin(_classes(tokens), removed))
 
     def left(starts: np.ndarray) -> np.ndarray:
-        edge = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
-        size = np.diff(np.r_[edge, len(starts)])
-        starts = starts[np.repeat(size > RUN - DEPTH, size)]
         covered = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(covered, starts, 1)
         np.add.at(covered, starts + DEPTH, -1)

@@ -95,3 +95,40 @@ def test_suffix_array_against_brute_force():
         groups.setdefault(r, set()).add(windows[i])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(windows.values()))
     assert len({int(h) for h in htmltext._classes(tokens)[order]}) == len(groups)
+
+
+def covered_by_plain_code(pages):
+    """Tokens of undecided blocks that no substring of DEPTH tokens covers which PAGES pages show; pages differ in everything else."""
+    blocks = {i: [t.split() for t in main(h)] for i, h in pages}
+    d, shown = htmltext.DEPTH, {}
+    flat = {i: [w for b in own for w in b] for i, own in blocks.items()}
+    for i, w in flat.items():
+        for k in range(len(w) - d + 1):
+            shown.setdefault(tuple(w[k : k + d]), set()).add(i)
+    gone = {}
+    for i, w in flat.items():
+        gone[i] = {k + o for k in range(len(w) - d + 1) if len(shown[tuple(w[k : k + d])]) >= htmltext.PAGES for o in range(d)}
+    return {i: [w for k, w in enumerate(flat[i]) if k not in gone[i]] for i in flat}
+
+
+def test_repeats_against_plain_code(spark):
+    rng = np.random.default_rng(12)
+    common = [" ".join(f"c{j}x{k}" for k in range(n)) for j, n in enumerate((9, 11, 12, 13, 40))]
+    pages = []
+    for i in range(12):
+        paragraphs = [" ".join(f"p{i}x{j}x{k}" for k in range(rng.integers(25, 60))) for j in range(4)]
+        paragraphs += [common[j] for j in range(5) if rng.random() < 0.4]
+        rng.shuffle(paragraphs)
+        pages.append((i, "".join(f"<p>{t}</p>" for t in paragraphs)))
+    df = spark.createDataFrame([(i, f"http://p.org/{i}", h) for i, h in pages], PAGES)
+    got = {r.page_id: r.text.split() for r in htmltext.main_text(df).collect()}
+    assert got == covered_by_plain_code(pages)
+
+
+def test_long_pages_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, "http://l.org/1", f"<p>{long}</p>"), (2, "http://l.org/2", "<div>" * 3000 + "deep" + "</div>" * 3000), (3, None, "<" * 100_000), (4, "http://l.org/4", "a" * 500_000)]
+    df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS host", "2 AS page", "'x' AS text", "3 AS node", "4 AS main", "5 AS roles", "6 AS component", "7 AS class")
+    got = {r.page_id: r for r in htmltext.main_text(df).collect()}
+    assert got[1].text == long and got[2].text == "deep" and got[4].n_chars == 500_000 and len(got) == 4
+    assert set(got[1].asDict()) == {"page_id", "url", "text", "n_chars"}
