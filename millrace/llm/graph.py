@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _signature(df: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour is partly aggregated, then joined, and the join may split.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("m"))
-    last = None
+    last = before = None
     while True:
         both = e.union(e.select("m", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = large.groupBy("u").agg(F.min("m").alias("least"))
         small = large.join(nearest, "u").where("m != least").select(F.col("m").alias("u"), F.col("least").alias("m"))
         e = cut(small.union(nearest.toDF("u", "m")).distinct(), "stars")
-        now = _signature(e)
+        if before is not None:
+            discard(before)
+        before, now = e, _signature(e)
         if now == last:
             break
         last = now

@@ -22,8 +22,10 @@ Jaccard similarity of at least ``similarity`` percent are linked.
    the full sets of those and emit only the links that join components, never
    the pairs of a bucket.
 
-Repeated rows share a fingerprint and a component; a null document id never
-becomes a component's id unless it has no other.
+Repeated rows share a fingerprint and a component. Several texts under one id
+are as many nodes, and so are texts without an id: links go by fingerprints, so
+none is lost or invented. A null id never becomes a component's id unless it
+has no other.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, bits_set, cut, ship, small_batches
+from .common import bit_filter, bits_set, cut, discard, ship, small_batches
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 80
@@ -47,8 +49,8 @@ SKETCH_BITS = 1024
 MARGIN = 5.0
 #: Members of a bucket that one task compares with as many others, by sketches and then (in bytes) by sets.
 BLOCK, BLOCK_BYTES = 1024, 1 << 24
-#: Bits of the filter that picks the texts to shingle again (1 MB in all).
-FILTER_BITS = 1 << 23
+#: Bits of the filter that picks the texts to shingle again: eight a text, but no more than 32 MB in all.
+LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 28
 _WORDS_KEPT = 300_000
 _rng = np.random.default_rng(8)
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
@@ -111,7 +113,19 @@ def most_odd_bits(similarity: int) -> int:
     return math.ceil(z + MARGIN * math.sqrt(z) / 2)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): ``row`` is a hash of both, so that a text can be told from others of its id and from rows without one."""
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return d.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def fingerprint(u: np.ndarray, seed: int) -> tuple[int, int]:
+    """The node of a set of shingles, and a check of it."""
+    d = xxhash.xxh3_128_intdigest(u.tobytes(), seed)
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
 def sketches(docs: DataFrame, size: int, seed: int) -> DataFrame:
@@ -123,16 +137,16 @@ def sketches(docs: DataFrame, size: int, seed: int) -> DataFrame:
             if not b.num_rows:
                 continue
             rows = []
-            for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+            for doc, text, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 u = shingle_hashes(text, size)
                 if not len(u):
-                    rows.append((doc, 0, None, None, [], []))
+                    rows.append((doc, row, 0, None, None, [], []))
                     continue
-                mh, d = min_hashes(u), xxhash.xxh3_128_intdigest(u.tobytes(), seed)
-                rows.append((doc, len(u), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), band_keys(mh), odd_sketch(mh)))
+                mh = min_hashes(u)
+                rows.append((doc, row, len(u), *fingerprint(u, seed), band_keys(mh), odd_sketch(mh)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _SKETCH, strict=True)], schema=_SKETCH)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, `check` long, bands array<long>, odd array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, `check` long, bands array<long>, odd array<long>")
 
 
 def _odd_bits(a: str, b: str) -> Column:
@@ -144,29 +158,32 @@ def _may_be_linked(similarity: int) -> Column:
     return (least * 100 >= most * similarity) & (_odd_bits("odd_a", "odd_b") <= most_odd_bits(similarity))
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the nodes in ``wanted``: each one's sorted shingle hashes, 6 bytes each."""
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
+    """(node, set) of the nodes in ``wanted``: each one's sorted shingle hashes.
+
+    Of each node one row's text is shingled again, and it is the fingerprint of
+    what comes out that the set is joined by.
+    """
     spark = docs.sparkSession
-    first = cut(wanted.select("node").distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node"), "wanted")
-    bits = spark.sparkContext.broadcast(bit_filter(F.xxhash64("doc_id"), first, FILTER_BITS))
+    first = cut(wanted.select("node").distinct().join(nodes.select("node", "row"), "node"), "wanted")
+    most = min(MOST_FILTER, max(LEAST_FILTER, 1 << (8 * first.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(bit_filter(F.col("row"), first, most))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = np.flatnonzero(bits_set(bits.value, b[2].to_numpy()))
+            hit = np.flatnonzero(bits_set(bits.value, b[1].to_numpy() & np.int64(most - 1)))
             if len(hit):
-                texts = b[1].take(pa.array(hit)).to_pylist()
-                sets = [shingle_hashes(t, size).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([b[0].take(pa.array(hit)), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+                sets = [u for t in b[0].take(pa.array(hit)).to_pylist() if len(u := shingle_hashes(t, size))]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(u, seed)[0] for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["node", "set"])
 
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    made = d.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(shingle, "doc_id long, `set` binary")
-    return cut(made.join(first, "doc_id").select("node", "set").dropDuplicates(["node"]), "sets")
+    made = _keyed(docs).select("text", "row").mapInArrow(shingle, "node long, `set` binary")
+    out = cut(made.join(first.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    discard(first)
+    return out
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return x.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(raw, np.uint64)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -185,11 +202,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
-    """Deals each key's members to pairs (i, j) of its blocks; a member's own block is ``own``."""
-    d = members.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return d.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "blocks")
+def _blocks(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Deals each key's members (key, node, part, ...) to pairs (i, j) of blocks of about ``most``; a member's own block is ``own``.
+
+    The heaviest part of a key is never compared within itself, so its blocks
+    (below 0) only meet those of the rest (0 and above): a large component with
+    few strangers in its bucket is dealt once, and the strangers to every block.
+    """
+    parts = members.groupBy("key", "part").agg(F.sum(weight).alias("w"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("w", "part")).alias("big"), F.sum("w").alias("all"))
+    sizes = sizes.select("key", F.col("big.part").alias("big"), F.ceil(F.col("big.w") / most).cast("int").alias("bigs"), F.ceil((F.col("all") - F.col("big.w")) / most).cast("int").alias("rests")).where("rests > 0")
+    at, is_big = F.xxhash64("node", "key"), F.col("part") == F.col("big")
+    d = members.join(sizes, "key").withColumn("own", F.when(is_big, -1 - F.pmod(at, "bigs")).otherwise(F.pmod(at, "rests")).cast("int"))
+    rest = F.sequence(F.lit(0), F.col("rests") - 1)
+    d = d.withColumn("with", F.explode(F.when(is_big, rest).otherwise(F.concat(rest, F.sequence(-F.col("bigs"), F.lit(-1))))))
+    return d.withColumn("i", F.greatest("own", "with")).withColumn("j", F.least("own", "with")).drop("with", "big", "bigs", "rests")
 
 
 def _cross(t: pa.Table, similarity: int, most: int):
@@ -210,8 +237,8 @@ def _cross(t: pa.Table, similarity: int, most: int):
 
 def across(placed: DataFrame, size_and_odd: DataFrame, similarity: int) -> DataFrame:
     """(key, node, part, n, odd): members of buckets with a possible link to another part."""
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("count")).where("x != y").select("key", "count")
-    dealt = _blocks(placed.join(mixed, "key").join(size_and_odd, "node").select("key", "node", "part", "n", "odd", "count"), F.ceil(F.col("count") / BLOCK)).drop("count")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
+    dealt = _blocks(placed.join(mixed, "key"), F.lit(1), BLOCK).join(size_and_odd, "node").select("key", "i", "j", "own", "node", "part", "n", "odd")
     most = most_odd_bits(similarity)
 
     def possible(t: pa.Table) -> pa.Table:
@@ -227,8 +254,7 @@ def across(placed: DataFrame, size_and_odd: DataFrame, similarity: int) -> DataF
 
 def linked_across(possible: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b): links between different parts, as many as join the parts of a block."""
-    size = possible.groupBy("key").agg(F.sum("n").alias("all"))
-    dealt = _blocks(possible.join(size, "key"), F.ceil(F.col("all") * 6 / BLOCK_BYTES)).drop("all").join(sets, "node").select("key", "i", "j", "own", "node", "part", "n", "odd", "set")
+    dealt = _blocks(possible, F.col("n") * 8, BLOCK_BYTES).join(sets, "node").select("key", "i", "j", "own", "node", "part", "n", "odd", "set")
     most = most_odd_bits(similarity)
 
     def link(t: pa.Table) -> pa.Table:
@@ -268,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     spark, seed = docs.sparkSession, 0
     while True:
         sk = cut(sketches(docs, size, seed), "sketches")
-        nodes = cut(sk.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("odd").alias("odd"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
+        nodes = cut(sk.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.first("odd").alias("odd"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
         if nodes.where("low != high").isEmpty():
             break
         seed += 1
@@ -282,14 +308,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     near = near.join(size_and_odd.toDF("a", "n_a", "odd_a"), "a").join(size_and_odd.toDF("b", "n_b", "odd_b"), "b").where(_may_be_linked(similarity)).select("a", "b")
     tried = cut(near, "tried")
     ends = tried.select(F.col("a").alias("node")).union(tried.select("b"))
-    links = cut(confirm(tried, full_sets(docs, nodes, ends, size), similarity), "links")
+    sets = full_sets(docs, nodes, ends, size, seed)
+    links = cut(confirm(tried, sets, similarity), "links")
+    discard(tried, sets)
     parts = cut(components(links), "parts")
 
     # buckets whose members aren't all in one component yet
     placed = cut(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "placed")
     possible = cut(across(placed, size_and_odd, similarity), "possible")
+    discard(members, placed)
     if not possible.isEmpty():
-        more = cut(linked_across(possible, full_sets(docs, nodes, possible, size), similarity), "more")
+        sets = full_sets(docs, nodes, possible, size, seed)
+        more = cut(linked_across(possible, sets, similarity), "more")
+        discard(possible, sets)
         if not more.isEmpty():
             parts = cut(components(links.union(more)), "parts")
 

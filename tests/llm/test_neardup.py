@@ -117,3 +117,51 @@ def test_odd_sketch_estimates(spark):
     assert neardup.most_odd_bits(80) < neardup.SKETCH_BITS / 2
     with pytest.raises(ValueError):
         neardup.most_odd_bits(-1)
+
+
+def variants(seed, n, changes, words=120):
+    r = random.Random(seed)
+    base, out = [f"s{seed}w{k}" for k in range(words)], []
+    for _ in range(n):
+        v = list(base)
+        for _ in range(changes):
+            v[r.randrange(words)] = f"q{r.randint(0, 10**9)}"
+        out.append(" ".join(v))
+    return out
+
+
+def test_rows_without_an_id_link_others(spark):
+    """1 - null - 2: only the text without an id is near both."""
+    base = [f"w{k}" for k in range(200)]
+    mid, left, right = list(base), list(base), list(base)
+    left[20:28] = [f"l{k}" for k in range(8)]
+    right[120:128] = [f"r{k}" for k in range(8)]
+    rows = [(1, " ".join(left)), (None, " ".join(mid)), (2, " ".join(right)), (None, "alone " + " ".join(f"z{k}" for k in range(50)))]
+    rows += [(None, t) for t in variants(3, 4, 1)] + [(9, variants(3, 1, 1)[0])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    want = brute(rows, 5)
+    assert got(docs, 5) == want and (2, 196, 1) in want
+
+
+def test_several_texts_under_one_id_keep_their_links(spark):
+    a, b = variants(1, 2, 1), variants(2, 2, 1)
+    rows = [(1, a[0]), (3, a[1]), (3, b[1]), (2, b[0])]
+    for order in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in order], DOCS)
+        assert got(docs, 5) == brute(order, 5)
+    assert {c for d, _, c in brute(rows, 5)} == {1, 2}
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    """Many blocks to a bucket: a large component with strangers in its buckets, and many parts."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 13)
+    r = random.Random(21)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(260):
+        v = list(base)
+        for _ in range(r.choice((0, 1, 2, 4, 5))):
+            v[r.randrange(60)] = f"q{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(v)))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    assert got(docs, 5) == brute(rows, 5)
