@@ -21,6 +21,7 @@ SERIES = {
     "R10": (100, 125, 160, 200, 250, 315, 400, 500, 630, 800),
     "R20": (100, 112, 125, 140, 160, 180, 200, 224, 250, 280, 315, 355, 400, 450, 500, 560, 630, 710, 800, 900),
     "R40": (100, 106, 112, 118, 125, 132, 140, 150, 160, 170, 180, 190, 200, 212, 224, 236, 250, 265, 280, 300, 315, 335, 355, 375, 400, 425, 450, 475, 500, 530, 560, 600, 630, 670, 710, 750, 800, 850, 900, 950),
+    "R80": (100, 103, 106, 109, 112, 115, 118, 122, 126, 129, 132, 136, 140, 144, 148, 152, 156, 160, 165, 169, 174, 178, 183, 188, 193, 198, 203, 209, 214, 220, 226, 232, 238, 244, 250, 256, 263, 270, 277, 284, 291, 299, 306, 314, 322, 330, 338, 346, 355, 363, 372, 381, 390, 400, 409, 419, 429, 439, 449, 460, 471, 482, 493, 504, 516, 528, 540, 552, 565, 578, 591, 603, 617, 630, 644, 658, 672, 686, 701, 716, 732, 747, 762, 778, 794, 800, 817, 834, 851, 868, 886, 904, 922, 941, 960, 979),
     "1-2-5": (10, 20, 50),
     "E6": (10, 15, 22, 33, 47, 68),
     "E12": (10, 12, 15, 18, 22, 27, 33, 39, 47, 56, 68, 82),
@@ -36,10 +37,11 @@ def round_up(v: float, series: str) -> float:
         return 0.0
     base = SERIES.get(series)
     if base is None:
-        if series not in ("R80", "E48", "E96", "E192"):
+        if series not in ("E48", "E96", "E192"):
             raise ExpressionError(f"unknown granularity {series}")
         n = int(series[1:])
-        base = tuple(round(10 ** (i / n) * 100) for i in range(n))
+        # by rule, but for the one number that the standard rounds up
+        base = tuple(920 if (n, i) == (192, 185) else round(10 ** (i / n) * 100) for i in range(n))
     decade = 10 ** math.floor(math.log10(v)) / base[0]
     for scale in (decade, decade * 10):
         for b in base:

@@ -18,6 +18,7 @@ from ..functions.accumulators import accumulate
 from ..functions.expressions import Compiler, ExpressionError, literal
 from ..functions.paths import DATES, NUMERIC, column_at, quoted, with_path, without_path
 from ..functions.windows import MILLIS, linear_fill, order_columns, window_column
+from ..shared import checkpointed
 from . import search
 from .predicates import compile_query
 
@@ -231,15 +232,53 @@ class _Level(Compiler):
 # groups
 
 
+def _best_rows(k: Compiler, name: str, arg: dict, sort: dict | None) -> tuple[Column, list[Column], int] | None:
+    """(value, order, n) of an N form whose rows have an order: its n first rows are what it keeps."""
+    if name in ("$maxN", "$minN"):
+        v = k.column(arg["input"])
+        return v, [v.asc() if name == "$minN" else v.desc()], arg["n"]
+    by = sort if name in ("$firstN", "$lastN") else arg.get("sortBy")
+    if not by or "n" not in arg:
+        return None
+    forward = name in ("$firstN", "$topN")
+    return k.column(arg["input" if name in ("$firstN", "$lastN") else "output"]), order_columns(k, by if forward else {p: -w for p, w in by.items()}), arg["n"]
+
+
+_N_FORMS = ("$maxN", "$minN", "$firstN", "$lastN", "$topN", "$bottomN")
+
+
 def group(df: DataFrame, spec: dict, sort: dict | None = None, variables: dict | None = None) -> DataFrame:
+    """N forms are group limits: each task keeps n rows of a group, so no group is gathered."""
     k = Compiler(df, variables)
     key = k.column(spec["_id"])
-    aggs = [accumulate(k, a, sort).alias(n) for n, a in spec.items() if n != "_id"]
-    if spec["_id"] is None or (not isinstance(spec["_id"], (dict, list)) and not str(spec["_id"]).startswith("$")):
-        whole = df.agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0").drop("__n")
-        return whole.select(key.alias("_id"), "*")
-    keyed = df.groupBy(key.alias("_id"))
-    return keyed.agg(*aggs) if aggs else df.select(key.alias("_id")).distinct()
+    plain, bounded = {}, {}
+    for n, a in spec.items():
+        if n != "_id":
+            op = next(iter(a), None)
+            best = _best_rows(k, op, a[op], sort) if op in _N_FORMS and len(a) == 1 and isinstance(a[op], dict) else None
+            if best is not None and isinstance(best[2], int):
+                bounded[n] = (op, *best)
+            else:
+                plain[n] = a
+    aggs = [accumulate(k, a, sort).alias(n) for n, a in plain.items()]
+    alone = spec["_id"] is None or (not isinstance(spec["_id"], (dict, list)) and not str(spec["_id"]).startswith("$"))
+    if alone:
+        out = df.agg(F.count(F.lit(1)).alias("__n"), *aggs).where("__n > 0").drop("__n").select(key.alias("_id"), "*")
+    else:
+        keyed = df.groupBy(key.alias("_id"))
+        out = keyed.agg(*aggs) if aggs else df.select(key.alias("_id")).distinct()
+    for n, (op, value, order, most) in bounded.items():
+        rows = df if op not in ("$maxN", "$minN") else df.where(value.isNotNull())
+        if alone:
+            best = rows.orderBy(*order).limit(most).select(F.lit(0).alias("__key"), F.row_number().over(Window.orderBy(*order)).alias("__r"), F.struct(value.alias("v")).alias("__v"))
+        else:
+            best = rows.select(key.alias("__key"), F.struct(value.alias("v")).alias("__v"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("__r")).where(F.col("__r") <= most)
+        back = op in ("$lastN", "$bottomN")
+        got = best.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct((-F.col("__r") if back else F.col("__r")).alias("__r"), "__v"))).alias("__got"))
+        item = F.transform("__got", lambda x: x["__v"]["v"])
+        out = out.crossJoin(got) if alone and op not in ("$maxN", "$minN") else out.join(got, F.lit(True) if alone else out["_id"].eqNullSafe(got["__key"]), "left")  # alone: one row on either side
+        out = out.withColumn(n, F.coalesce(item, F.array().cast(T.ArrayType(got.schema["__got"].dataType.elementType["__v"].dataType["v"].dataType)))).drop("__key", "__got")
+    return out.select("_id", *(F.col(quoted(n)) for n in spec if n != "_id")) if bounded else out
 
 
 @stage("$group")
@@ -355,11 +394,19 @@ def _lookup(engine, df, spec, state):
         item = T.ArrayType(rows.schema["__row"].dataType)
         none = F.array().cast(item)
         if isinstance(kind, T.ArrayType):
-            # each row asks for several keys: they are joined apart and gathered by row
-            tagged = df.withColumn("__id", F.monotonically_increasing_id())
-            asked = tagged.select("__id", F.explode(F.array_distinct(c)).alias("__k"))
-            got = asked.join(rows, "__k").groupBy("__id").agg(F.array_distinct(F.collect_list("__row")).alias(name))
-            return tagged.join(got, "__id", "left").withColumn(name, F.coalesce(F.col(quoted(name)), none)).drop("__id")
+            # what a row gets depends on its array alone: each different array asks once, each foreign row answers once
+            arrays = df.select(c.alias("__a")).where("__a is not null").distinct()
+            asked = arrays.select("__a", F.explode(F.array_distinct("__a")).alias("__k"))
+            if isinstance(fkind, T.ArrayType):
+                # a foreign row that several keys reach: equal rows travel as one with their number
+                kinds = right.groupBy(f.alias("__k"), _foreign_row(right).alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+                kinds = kinds.select(F.explode(F.array_distinct("__k")).alias("__k"), "__row", "__n")
+                met = asked.join(kinds, "__k").select("__a", "__row", "__n").distinct().select("__a", F.explode(F.array_repeat("__row", F.col("__n"))).alias("__row"))
+            else:
+                met = asked.join(rows, "__k")
+            got = met.groupBy("__a").agg(F.collect_list("__row").alias("__rows"))
+            left = df.drop(name).withColumn("__l", c)
+            return left.join(got, left["__l"].eqNullSafe(got["__a"]), "left").withColumn(name, F.coalesce("__rows", none)).drop("__l", "__a", "__rows")
         gathered = rows.groupBy("__k").agg(F.collect_list("__row").alias("__rows"))
         left = df.drop(name).withColumn("__l", c)
         out = left.join(gathered, left["__l"].eqNullSafe(gathered["__k"]), "left")
@@ -393,7 +440,7 @@ def _correlated(engine, df: DataFrame, spec: dict, right: DataFrame | None, stat
         right = engine.run(None, spec["pipeline"][:1])
         spec = spec | {"pipeline": spec["pipeline"][1:]}
     k = Compiler(df, state.variables)
-    left = df.drop(name).withColumn("__id", F.monotonically_increasing_id())
+    left = df.drop(name)
     bound = {v: (f"__v_{v}", k.kind(e)) for v, e in lets.items()}
     left = left.withColumns({bound[v][0]: k.column(e) for v, e in lets.items()}) if lets else left
     pairs, pipeline = _equalities(df, right, spec)
@@ -413,8 +460,10 @@ def _correlated(engine, df: DataFrame, spec: dict, right: DataFrame | None, stat
             raise ExpressionError("the pipeline drops a field that the equality needs")
         none = F.array().cast(out.schema["__rows"].dataType)
         return out.withColumn(name, F.coalesce("__rows", none)).select(*df.drop(name).columns, name)
-    # the rest of the pipeline sees let variables as columns beside the foreign row
-    keys = left.select("__id", *(c for c, _ in bound.values()))
+    # the rest of the pipeline sees let variables as columns beside the foreign row;
+    # rows of equal variables get the same, so the variables are the key
+    left = left.withColumn("__id", F.struct(*(c for c, _ in bound.values())))
+    keys = left.select("__id", *(c for c, _ in bound.values())).distinct()
     if pairs:
         joined = keys.join(right, [keys[bound[v][0]].eqNullSafe(right[f]) for v, f in pairs])
     else:
@@ -452,8 +501,8 @@ def _correlated(engine, df: DataFrame, spec: dict, right: DataFrame | None, stat
         rows = F.transform(F.array_sort(F.collect_list(F.struct("__order", row.alias("row")))), lambda x: x["row"])
     else:
         rows = F.collect_list(row)
-    got = joined.groupBy("__id").agg(rows.alias(name))
-    out = left.join(got, "__id", "left")
+    got = joined.groupBy(F.col("__id").alias("__own")).agg(rows.alias(name))
+    out = left.join(got, left["__id"].eqNullSafe(got["__own"]), "left")
     return out.withColumn(name, F.coalesce(F.col(quoted(name)), F.array().cast(got.schema[name].dataType))).select(*df.drop(name).columns, name)
 
 
@@ -471,43 +520,43 @@ def _lookup_unwind(engine, df, spec, state):
 
 @stage("$graphLookup")
 def _graph_lookup(engine, df, spec, state):
-    """Breadth-first search for all starts at once: each level is one join on the frontier.
+    """Breadth-first search for all starts at once, over values alone: each level is one join on the frontier.
 
-    Visited (start, node) pairs are removed by an anti join, so cycles end. Levels
-    are cut by a reliable checkpoint where the session has a folder for them.
+    Visited (start, value) pairs are removed by an anti join, so cycles end.
+    Each level is cut by a reliable checkpoint. Rows join once, at the end; one
+    that several values reach counts at its least depth, equal rows each.
     """
     right = engine.collection(spec["from"])
     if spec.get("restrictSearchWithMatch"):
         right = match(right, spec["restrictSearchWithMatch"])
     k, name = Compiler(df, state.variables), spec["as"]
-    source, to = column_at(right, spec["connectFromField"]), column_at(right, spec["connectToField"])
-    edges = right.select(to[0].alias("__to"), source[0].alias("__from"), _foreign_row(right).alias("__row"), F.xxhash64(_foreign_row(right)).alias("__h"))
+    (source, skind), (to, tkind) = column_at(right, spec["connectFromField"]), column_at(right, spec["connectToField"])
+    opened = lambda c, kind: F.explode(F.array_distinct(c)) if isinstance(kind, T.ArrayType) else c
+    values = right.select(to.alias("__t"), opened(source, skind).alias("__from"))
+    edges = values.select(opened(F.col("__t"), tkind).alias("__to"), "__from").where("__to is not null and __from is not null").distinct()
     start, kind = k.column(spec["startWith"]), k.kind(spec["startWith"])
-    tagged = df.drop(name).withColumn("__id", F.monotonically_increasing_id())
-    front = tagged.select("__id", (F.explode(start) if isinstance(kind, T.ArrayType) else start).alias("__k")).where("__k is not null").distinct()
+    left = df.drop(name).withColumn("__s", start)
+    front = left.select("__s").distinct().select("__s", opened(F.col("__s"), kind).alias("__k")).where("__k is not null").distinct()
     deepest, depth, seen = spec.get("maxDepth"), 0, None
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     while True:
-        level = front.join(edges, front["__k"] == edges["__to"]).select("__id", "__row", "__h", "__from", F.lit(depth).cast("long").alias("__d")).dropDuplicates(["__id", "__h"])
         if seen is not None:
-            level = level.join(seen.select("__id", "__h"), ["__id", "__h"], "left_anti")
-        level = level.checkpoint() if folder else level.persist()
-        if level.isEmpty():
-            break
+            front = front.join(seen.select("__s", "__k"), ["__s", "__k"], "left_anti")
+        level = checkpointed(front.withColumn("__d", F.lit(depth).cast("long")))
         seen = level if seen is None else seen.unionByName(level)
-        if deepest is not None and depth >= deepest:
+        if level.isEmpty() or (deepest is not None and depth >= deepest):
             break
-        step = F.explode("__from") if isinstance(source[1], T.ArrayType) else F.col("__from")
-        front = level.select("__id", step.alias("__k")).where("__k is not null").distinct()
+        front = level.join(edges, level["__k"] == edges["__to"]).select("__s", F.col("__from").alias("__k")).distinct()
         depth += 1
-    if seen is None:
-        seen = level
+    nodes = right.groupBy(to.alias("__t"), _foreign_row(right).alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    nodes = nodes.select(opened(F.col("__t"), tkind).alias("__to"), "__row", "__n")
+    met = seen.join(nodes, seen["__k"] == nodes["__to"]).groupBy("__s", "__row").agg(F.min("__d").alias("__d"), F.first("__n").alias("__n"))
     row = F.col("__row")
     if spec.get("depthField"):
         row = F.struct(*(F.col(f"__row.{quoted(c)}").alias(c) for c in right.columns), F.col("__d").alias(spec["depthField"]))
-    got = seen.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__h", row.alias("row")))), lambda x: x["row"]).alias(name))
-    out = tagged.join(got, "__id", "left")
-    return out.withColumn(name, F.coalesce(F.col(quoted(name)), F.array().cast(got.schema[name].dataType))).drop("__id")
+    met = met.select("__s", "__d", F.explode(F.array_repeat(row, F.col("__n"))).alias("row"))
+    got = met.groupBy(F.col("__s").alias("__of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "row"))), lambda x: x["row"]).alias(name))
+    out = left.join(got, left["__s"].eqNullSafe(got["__of"]), "left")
+    return out.withColumn(name, F.coalesce(F.col(quoted(name)), F.array().cast(got.schema[name].dataType))).drop("__s", "__of")
 
 
 @stage("$unionWith")

@@ -7,7 +7,6 @@ the old version and failed jobs never see half a write.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import ExpressionError, literal
 from ..operators import jsonschema, updates
 from ..operators.predicates import compile_query
+from ..shared import shared_dir
 
 
 class Catalog:
@@ -23,7 +23,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or "file://" + tempfile.mkdtemp(prefix="millrace-db-")
+        self.root = root or f"{shared_dir(spark)}/db-{uuid.uuid4().hex}"
         self.frames: dict[str, DataFrame] = {}
         self.views: dict[str, tuple[str, list]] = {}
         self.validators: dict[str, dict] = {}
