@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.expressions import Compiler, ExpressionError, slice_of
-from .functions.paths import column_at, with_path
+from .functions.paths import column_at, quoted, with_path
 from .operators import search
 from .operators.predicates import compile_query, element_test
 from .operators.stages import STAGES, State, match, project, sort
@@ -25,6 +25,32 @@ def _first_match(df: DataFrame, c, kind, query: dict):
     return F.slice(F.filter(c, lambda x: element_test(df, x, kind.elementType, query)), F.lit(1), F.lit(1))
 
 
+def _collation(spec: dict) -> str:
+    """The session collation that a language, a strength and case sensitivity stand for.
+
+    Strength 1 compares base letters, 2 accents too, 3 and above also case.
+    """
+    if spec.get("numericOrdering"):
+        raise ExpressionError("numericOrdering isn't supported")
+    locale, strength = spec.get("locale", "simple"), spec.get("strength", 3)
+    if locale == "simple":
+        return "UTF8_BINARY"
+    case = strength >= 3 or spec.get("caseLevel", False)
+    name = "UNICODE" if locale in ("en", "en_US", "root", "und") else locale
+    return name + ("" if case else "_CI") + ("_AI" if strength == 1 else "")
+
+
+def collated(df: DataFrame, spec: dict) -> DataFrame:
+    """``df`` with its strings under a collation: comparisons, sorts and groups follow it."""
+    name = _collation(spec)
+    return df.select(*(F.collate(F.col(quoted(f.name)), name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(quoted(f.name)) for f in df.schema.fields))
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with plain strings."""
+    return df.select(*(F.collate(F.col(quoted(f.name)), "UTF8_BINARY").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(quoted(f.name)) for f in df.schema.fields))
+
+
 class Database:
     """Collections over one session.
 
@@ -48,9 +74,12 @@ class Database:
             return self.spark.createDataFrame([], "_id long")
         return self.spark.createDataFrame([Row(**r) for r in rows])
 
-    def aggregate(self, name: str | None, pipeline: list[dict], let: dict | None = None) -> DataFrame:
+    def aggregate(self, name: str | None, pipeline: list[dict], let: dict | None = None, collation: dict | None = None) -> DataFrame:
         """The rows of a pipeline over a collection (None: it begins with its own source)."""
-        return self.run(self.collection(name) if name is not None else None, pipeline, let)
+        df = self.collection(name) if name is not None else None
+        if collation and df is not None:
+            return plain(self.run(collated(df, collation), pipeline, let))
+        return self.run(df, pipeline, let)
 
     def run(self, df: DataFrame | None, pipeline: list[dict], let: dict | None = None) -> DataFrame:
         if len(pipeline) > self.settings["max_stages"]:
@@ -70,9 +99,12 @@ class Database:
                 state.sort = None
         return df.drop(*(c for c in df.columns if c in ("__text_score", "__search_score", "__distance")))
 
-    def find(self, name: str, query: dict | None = None, projection: dict | None = None, sort_by: dict | None = None, skip: int = 0, limit: int = 0) -> DataFrame:
+    def find(self, name: str, query: dict | None = None, projection: dict | None = None, sort_by: dict | None = None, skip: int = 0, limit: int = 0, collation: dict | None = None) -> DataFrame:
         query = query or {}
-        df = match(self.collection(name), query)
+        df = self.collection(name)
+        if collation:
+            df = collated(df, collation)
+        df = match(df, query)
         near = next(((f, o, v[o], v) for f, v in query.items() if isinstance(v, dict) for o in ("$near", "$nearSphere", "$geoNear") if o in v), None)
         if near and not sort_by:
             c, kind = column_at(df, near[0])
@@ -85,6 +117,8 @@ class Database:
             df = df.limit(abs(limit))
         if projection:
             df = self._projected(df, projection, query)
+        if collation:
+            df = plain(df)
         return df.drop(*(c for c in df.columns if c in ("__text_score", "__search_score", "__distance")))
 
     def _projected(self, df: DataFrame, projection: dict, query: dict) -> DataFrame:
@@ -116,13 +150,15 @@ class Database:
     def count(self, name: str, query: dict | None = None, skip: int = 0, limit: int = 0) -> int:
         return self.find(name, query, skip=skip, limit=limit).count()
 
-    def distinct(self, name: str, key: str, query: dict | None = None) -> DataFrame:
+    def distinct(self, name: str, key: str, query: dict | None = None, collation: dict | None = None) -> DataFrame:
         """The set of a field's values; arrays are opened."""
-        df = match(self.collection(name), query or {})
+        df = self.collection(name)
+        df = match(collated(df, collation) if collation else df, query or {})
         c, kind = column_at(df, key)
         if isinstance(kind, T.ArrayType):
             c = F.explode(F.flatten(c) if isinstance(kind.elementType, T.ArrayType) else c)
-        return df.select(c.alias("value")).where("value is not null").distinct()
+        out = df.select(c.alias("value")).where("value is not null").distinct()
+        return plain(out) if collation else out
 
     def pages(self, df: DataFrame, size: int | None = None) -> Iterator[list[Row]]:
         """A cursor: rows in batches, a partition at a time."""

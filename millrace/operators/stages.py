@@ -6,6 +6,7 @@ need to know of earlier ones, as the order of a preceding $sort.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from ..functions.paths import DATES, NUMERIC, column_at, quoted, with_path, with
 from ..functions.windows import MILLIS, linear_fill, order_columns, window_column
 from ..shared import checkpointed
 from . import search
-from .predicates import compile_query
+from .predicates import compile_query, element_test
 
 STAGES: dict[str, Callable] = {}
 
@@ -691,31 +692,147 @@ def _vector_search(engine, df, spec, state):
     return search.vector_search(df, spec["path"], spec["queryVector"], spec["limit"], spec.get("metric", "cosine"))
 
 
-@stage("$search", "$searchMeta")
+def _listed(v) -> list:
+    return v if isinstance(v, list) else [v]
+
+
+def _text_query(words: list[str], paths, phrase: bool = False) -> dict:
+    return {"$search": " ".join(f'"{w}"' if phrase else w for w in words), "$fields": _listed(paths)}
+
+
+def _query_string(df: DataFrame, text: str, default: str) -> Column:
+    """``a AND b``, ``OR``, ``NOT``, parentheses, ``field:word`` and quoted phrases."""
+    tokens, at = re.findall(r'\(|\)|\bAND\b|\bOR\b|\bNOT\b|(?:[\w.]+:)?(?:"[^"]*"|[^\s()]+)', text), 0
+
+    def term() -> Column:
+        nonlocal at
+        token, at = tokens[at], at + 1
+        if token == "NOT":
+            return ~term()
+        if token == "(":
+            out = either()
+            at += 1
+            return out
+        field, _, word = token.rpartition(":") if re.match(r"[\w.]+:", token) else (default, "", token)
+        return search.text_filter(df, {"$search": word, "$fields": [field]})
+
+    def both() -> Column:
+        nonlocal at
+        out = term()
+        while at < len(tokens) and tokens[at] not in ("OR", ")"):
+            at += tokens[at] == "AND"
+            out = out & term()
+        return out
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while at < len(tokens) and tokens[at] == "OR":
+            at += 1
+            out = out | both()
+        return out
+
+    return either()
+
+
+def _clause(df: DataFrame, spec: dict) -> tuple[Column, Column]:
+    """(filter, score) of one search operator; operators without a score of their own count 1."""
+    ((op, s),) = ((k, v) for k, v in spec.items() if k not in ("index", "count", "facet", "highlight"))
+    one = F.lit(1.0)
+    if op in ("text", "phrase"):
+        q = _text_query(_listed(s["query"]), s["path"], op == "phrase")
+        return search.text_filter(df, q), search.text_score(df, q)
+    if op == "moreLikeThis":
+        likes = [v for d in _listed(s["like"]) for v in d.values() if isinstance(v, str)]
+        paths = list(dict.fromkeys(f for d in _listed(s["like"]) for f, v in d.items() if isinstance(v, str)))
+        words = sorted({w.lower() for x in likes for w in re.findall(r"\w+", x) if len(w) > 2})
+        q = _text_query(words, paths)
+        return search.text_filter(df, q), search.text_score(df, q)
+    if op == "queryString":
+        return _query_string(df, s["query"], s["defaultPath"]), one
+    if op == "near":
+        c, kind = column_at(df, s["path"])
+        away = F.abs((F.unix_millis(c.cast("timestamp")) - F.unix_millis(literal(s["origin"]).cast("timestamp"))) if isinstance(kind, DATES) else c - literal(s["origin"])).cast("double")
+        return c.isNotNull(), s["pivot"] / (s["pivot"] + away)
+    if op in ("geoWithin", "geoShape"):
+        c, kind = column_at(df, s["path"])
+        if "circle" in s:
+            x, y = search.point(c, kind)
+            return F.coalesce(search.spherical(x, y, s["circle"]["center"]["coordinates"]) <= s["circle"]["radius"], F.lit(False)), one
+        if "box" in s:
+            return search.within(c, kind, {"$box": [s["box"]["bottomLeft"]["coordinates"], s["box"]["topRight"]["coordinates"]]}), one
+        inside = search.within if op == "geoWithin" or s.get("relation") == "within" else search.intersects
+        hit = inside(c, kind, {"$geometry": s["geometry"]})
+        return (~hit if s.get("relation") == "disjoint" else hit), one
+    if op == "embeddedDocument":
+        c, kind = column_at(df, s["path"])
+        inner = s["operator"]
+        cut = lambda q: {k: (v[len(s["path"]) + 1 :] if k == "path" else v) for k, v in q.items()}
+        ((iop, body),) = inner.items()
+        query = _PLAIN[iop](cut(body))
+        return F.exists(c, lambda x: element_test(df, x, kind.elementType, query)), one
+    if op == "compound":
+        must, no, some = [_clause(df, c) for c in s.get("must", [])], [_clause(df, c) for c in s.get("mustNot", [])], [_clause(df, c) for c in s.get("should", [])]
+        hit, score = F.lit(True), F.lit(0.0)
+        for f, points in must:
+            hit, score = hit & f, score + points
+        for f, _ in [_clause(df, c) for c in s.get("filter", [])]:
+            hit = hit & f
+        for f, _ in no:
+            hit = hit & ~F.coalesce(f, F.lit(False))
+        if some:
+            met = [F.coalesce(f, F.lit(False)) for f, _ in some]
+            least = s.get("minimumShouldMatch", 0 if s.get("must") or s.get("filter") else 1)
+            hit = hit & (sum((m.cast("int") for m in met), F.lit(0)) >= least)
+            for m, (_, points) in zip(met, some, strict=True):
+                score = score + F.when(m, points).otherwise(0.0)
+        return hit, score
+    if op in _PLAIN:
+        return compile_query(df, _PLAIN[op](s)), one
+    raise ExpressionError(f"unknown search operator {op}")
+
+
+_PLAIN = {
+    "equals": lambda s: {s["path"]: s["value"]},
+    "exists": lambda s: {s["path"]: {"$exists": True}},
+    "in": lambda s: {s["path"]: {"$in": s["value"]}},
+    "range": lambda s: {s["path"]: {f"${x}": s[x] for x in ("gt", "gte", "lt", "lte") if x in s}},
+    "regex": lambda s: {s["path"]: {"$regex": s["query"]}},
+    "wildcard": lambda s: {s["path"]: {"$regex": "^" + s["query"].replace("*", ".*").replace("?", ".") + "$"}},
+    "autocomplete": lambda s: {s["path"]: {"$regex": rf"(?i)\b{s['query']}"}},
+}
+
+
+@stage("$search")
 def _search(engine, df, spec, state):
     if "cosmosSearch" in spec or "knnBeta" in spec:
         s = spec.get("cosmosSearch") or spec["knnBeta"]
         df = match(df, s["filter"]) if s.get("filter") else df
         return search.vector_search(df, s["path"], s["vector"], s.get("k", 10), s.get("metric", "cosine"))
-    if "text" in spec or "phrase" in spec:
-        s = spec.get("text") or spec["phrase"]
-        words = s["query"] if isinstance(s["query"], list) else [s["query"]]
-        paths = s["path"] if isinstance(s["path"], list) else [s["path"]]
-        q = {"$search": " ".join(f'"{w}"' if "phrase" in spec else w for w in words), "$fields": paths}
-        return df.where(search.text_filter(df, q)).withColumn("__search_score", search.text_score(df, q)).orderBy(F.desc("__search_score"))
-    query = {"equals": lambda s: {s["path"]: s["value"]}, "exists": lambda s: {s["path"]: {"$exists": True}}, "in": lambda s: {s["path"]: {"$in": s["value"]}}, "range": lambda s: {s["path"]: {f"${x}": s[x] for x in ("gt", "gte", "lt", "lte") if x in s}}, "regex": lambda s: {s["path"]: {"$regex": s["query"]}}, "wildcard": lambda s: {s["path"]: {"$regex": "^" + s["query"].replace("*", ".*").replace("?", ".") + "$"}}, "autocomplete": lambda s: {s["path"]: {"$regex": rf"(?i)\b{s['query']}"}}}
-    for op, make in query.items():
-        if op in spec:
-            return match(df, make(spec[op]))
-    if "compound" in spec:
-        c = spec["compound"]
-        for s in c.get("must", []) + c.get("filter", []):
-            df = _search(engine, df, s, state).drop("__search_score")
-        for s in c.get("mustNot", []):
-            ((op, body),) = s.items()
-            df = df.where(~compile_query(df, query[op](body)) if op in query else ~search.text_filter(df, {"$search": body["query"], "$fields": [body["path"]]}))
-        return df
-    raise ExpressionError(f"unknown search operator {list(spec)}")
+    hit, score = _clause(df, spec)
+    out = df.where(hit).withColumn("__search_score", score)
+    scored = {"text", "phrase", "near", "moreLikeThis", "compound"} & set(spec)
+    return out.orderBy(F.desc("__search_score")) if scored else out
+
+
+@stage("$searchMeta")
+def _search_meta(engine, df, spec, state):
+    """One row: the number of matches, and with ``facet`` the counts of each facet's values or ranges."""
+    plain = spec["facet"].get("operator") if "facet" in spec else spec
+    hit = df.where(_clause(df, plain)[0]) if plain else df
+    out = hit.agg(F.struct(F.count(F.lit(1)).alias("total")).alias("count"))
+    for name, f in spec.get("facet", {}).get("facets", {}).items():
+        c, _ = column_at(hit, f["path"])
+        if f["type"] == "string":
+            top = hit.where(c.isNotNull()).groupBy(c.alias("_id")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "_id").limit(f.get("numBuckets", 10))
+        else:
+            key = {"$_bucketInternal": {"groupBy": "$" + f["path"], "boundaries": f["boundaries"]} | ({"default": f["default"]} if "default" in f else {})}
+            inside = (c >= literal(f["boundaries"][0])) & (c < literal(f["boundaries"][-1]))
+            top = group(hit.where(c.isNotNull() if "default" in f else inside), {"_id": key, "count": {"$sum": 1}})
+        rows = top.agg(F.sort_array(F.collect_list(F.struct("_id", "count"))).alias(name))
+        out = out.crossJoin(rows)  # one row on either side
+    names = list(spec.get("facet", {}).get("facets", {}))
+    return out.select("count", F.struct(*names).alias("facet")) if names else out
 
 
 @stage("$inverseMatch")

@@ -124,8 +124,89 @@ def _unset_all(df: DataFrame, paths) -> DataFrame:
     return df
 
 
-def apply(df: DataFrame, update: dict | list, inserting: bool = False) -> DataFrame:
-    """The rows of ``df`` after the update; a plain document replaces all but _id."""
+def _changed(op: str, c: Column, kind: T.DataType | None, v, df: DataFrame) -> Column:
+    """One operator on one value."""
+    if op == "$unset":
+        return F.lit(None).cast(kind)
+    if op == "$pull":
+        return _pull(c, kind, v, df)
+    if op not in SIMPLE:
+        raise ExpressionError(f"{op} takes no positional path")
+    out = SIMPLE[op](c, kind, v)
+    return out if kind is None else out.cast(kind)
+
+
+def _positional(part: str) -> bool:
+    return part == "$" or (part.startswith("$[") and part.endswith("]"))
+
+
+def _array_filter(df: DataFrame, name: str, filters: list[dict], x: Column, kind: T.DataType) -> Column:
+    """The test of ``$[name]``: filters name the element itself or fields of it."""
+
+    def own(query: dict) -> dict:
+        out = {}
+        for key, v in query.items():
+            if key in ("$and", "$or", "$nor"):
+                out[key] = [own(q) for q in v]
+            elif key == name:
+                out |= v if isinstance(v, dict) and all(o.startswith("$") for o in v) else {"$eq": v}
+            elif key.startswith(name + "."):
+                out[key[len(name) + 1 :]] = v
+            else:
+                raise ExpressionError(f"no array filter for {key}")
+        return out
+
+    named = lambda q: any(k.split(".")[0] == name or (k in ("$and", "$or", "$nor") and all(named(y) for y in v)) for k, v in q.items())
+    found = [f for f in filters if named(f)]
+    if len(found) != 1:
+        raise ExpressionError(f"$[{name}] needs one array filter")
+    return element_test(df, x, kind, own(found[0]))
+
+
+def _first_hit(df: DataFrame, c: Column, kind: T.ArrayType, base: str, query: dict) -> Column:
+    """The index of the first element that the query's condition on the array matches."""
+    tests = []
+    for path, v in (query or {}).items():
+        if path == base:
+            cond = v.get("$elemMatch", v) if isinstance(v, dict) else {"$eq": v}
+            tests.append(lambda x, q=cond: element_test(df, x, kind.elementType, q))
+        elif path.startswith(base + "."):
+            tests.append(lambda x, q={path[len(base) + 1 :]: v}: element_test(df, x, kind.elementType, q))
+    if not tests:
+        raise ExpressionError("the positional operator needs the array in the query")
+    return F.array_position(F.transform(c, lambda x: tests[0](x)), F.lit(True)) - 1
+
+
+def _in_place(df: DataFrame, c: Column, kind: T.DataType | None, parts: list[str], base: str, op: str, v, filters: list[dict], query: dict) -> Column:
+    """``c`` with the operator applied at ``parts`` under it, array positions included."""
+    if not parts:
+        return _changed(op, c, kind, v, df)
+    head, rest = parts[0], parts[1:]
+    if isinstance(kind, T.ArrayType):
+        element = kind.elementType
+        inner = lambda x: _in_place(df, x, element, rest, f"{base}.{head}", op, v, filters, query)
+        if head == "$[]":
+            return F.transform(c, inner)
+        if head == "$":
+            hit = _first_hit(df, c, kind, base, query)
+            return F.transform(c, lambda x, i: F.when(i == hit, inner(x)).otherwise(x))
+        if head.startswith("$["):
+            return F.transform(c, lambda x: F.when(F.coalesce(_array_filter(df, head[2:-1], filters, x, element), F.lit(False)), inner(x)).otherwise(x))
+        if head.isdigit():
+            return F.transform(c, lambda x, i: F.when(i == int(head), inner(x)).otherwise(x))
+    if not isinstance(kind, T.StructType):
+        raise ExpressionError(f"{base} isn't an array or document")
+    own = kind[head].dataType if head in kind.names else None
+    changed = _in_place(df, c[head] if own is not None else F.lit(None), own, rest, f"{base}.{head}", op, v, filters, query)
+    return F.when(c.isNotNull(), F.struct(*((changed if f.name == head else c[f.name]).alias(f.name) for f in kind.fields), *([changed.alias(head)] if own is None else [])))
+
+
+def apply(df: DataFrame, update: dict | list, inserting: bool = False, array_filters: list[dict] | None = None, query: dict | None = None) -> DataFrame:
+    """The rows of ``df`` after the update; a plain document replaces all but _id.
+
+    Paths may hold ``$[]``, ``$[name]`` (with ``array_filters``), ``$`` (the
+    first element that ``query`` matched) and positions.
+    """
     if isinstance(update, list):
         for s in update:
             ((op, spec),) = s.items()
@@ -141,6 +222,11 @@ def apply(df: DataFrame, update: dict | list, inserting: bool = False) -> DataFr
         return df.select(*keep, *(literal(v).alias(k) for k, v in update.items()))
     for op, spec in update.items():
         for path, v in spec.items():
+            head, *parts = path.split(".")
+            if head in df.columns and path not in df.columns and any(_positional(x) or x.isdigit() for x in parts):
+                whole = df.schema[head].dataType
+                df = df.withColumn(head, _in_place(df, F.col(head), whole, parts, head, op, v, array_filters or [], query or {}))
+                continue
             c, kind = column_at(df, path)
             if op == "$unset":
                 # the column stays for the rows that aren't updated

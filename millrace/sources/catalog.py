@@ -103,7 +103,7 @@ class Catalog:
         least = marked.where("__hit").agg(F.min(key)).first()[0]
         return marked.withColumn("__hit", F.col("__hit") & key.eqNullSafe(F.lit(least)))
 
-    def update(self, name: str, query: dict, update: dict | list, multi: bool = False, upsert: bool = False) -> dict:
+    def update(self, name: str, query: dict, update: dict | list, multi: bool = False, upsert: bool = False, array_filters: list[dict] | None = None) -> dict:
         df = self.get(name)
         marked = self._hit(df, query, multi)
         hit = marked.where("__hit").drop("__hit")
@@ -115,7 +115,7 @@ class Catalog:
             seed = self.spark.range(1).select(*(literal(v).alias(k) for k, v in plain.items())) if plain else self.spark.range(1).select(F.lit(None).cast("long").alias("_id"))
             self.insert(name, updates.apply(seed, update, inserting=True))
             return {"matched": 0, "upserted": 1}
-        changed = updates.apply(hit, update)
+        changed = updates.apply(hit, update, array_filters=array_filters, query=query)
         self.replace(name, self._checked(name, marked.where("not __hit").drop("__hit").unionByName(changed, allowMissingColumns=True)))
         return {"matched": n, "upserted": 0}
 
@@ -133,16 +133,28 @@ class Catalog:
         before = hit.first()
         if before is None:
             return None
-        after = updates.apply(hit, update).first() if update is not None and not remove else None
+        after = updates.apply(hit, update, query=query).first() if update is not None and not remove else None
         if remove:
             self.delete(name, query, multi=False)
         else:
             self.update(name, query, update)
         return after if new else before
 
-    def bulk_write(self, operations: list[tuple]) -> list:
-        """(method, arguments...) in order, over any collections."""
-        return [getattr(self, op)(*args) for op, *args in operations]
+    def bulk_write(self, operations: list[tuple], ordered: bool = True) -> list:
+        """(method, arguments...) in order, over any collections.
+
+        Ordered writes end at the first that fails, which raises. Unordered ones
+        go on, and a failed one's exception stands in its place.
+        """
+        out = []
+        for op, *args in operations:
+            try:
+                out.append(getattr(self, op)(*args))
+            except Exception as e:
+                if ordered:
+                    raise
+                out.append(e)
+        return out
 
     def merge(self, df: DataFrame, spec: dict) -> None:
         """$merge: one full outer join on the ``on`` fields."""
