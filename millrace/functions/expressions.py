@@ -136,6 +136,11 @@ def fail(message: str, kind: str = "string") -> Column:
 # arithmetic
 
 
+def millis(c: Column) -> Column:
+    """Milliseconds of any date, with or without a time zone."""
+    return F.unix_millis(c.cast("timestamp"))
+
+
 @operator("$add")
 def _add(k: Compiler, spec) -> Column:
     specs = k.specs(spec, 0)
@@ -144,7 +149,7 @@ def _add(k: Compiler, spec) -> Column:
         raise ExpressionError("$add takes one date at most")
     if dated:
         total = sum((k.column(s) for s in specs if s is not dated[0]), F.lit(0))
-        return F.timestamp_millis((F.unix_millis(k.column(dated[0])) + total).cast("long"))
+        return F.timestamp_millis((millis(k.column(dated[0])) + total).cast("long"))
     cols = [k.column(s) for s in specs]
     return sum(cols[1:], cols[0]) if cols else F.lit(0)
 
@@ -155,8 +160,8 @@ def _subtract(k: Compiler, spec) -> Column:
     ca, cb = k.column(a), k.column(b)
     if isinstance(k.kind(a), DATES):
         if isinstance(k.kind(b), DATES):
-            return F.unix_millis(ca) - F.unix_millis(cb)
-        return F.timestamp_millis((F.unix_millis(ca) - cb).cast("long"))
+            return millis(ca) - millis(cb)
+        return F.timestamp_millis((millis(ca) - cb).cast("long"))
     return ca - cb
 
 
@@ -256,9 +261,10 @@ def _folded(values: Column) -> Column:
 
 @operator("$sum")
 def _sum(k: Compiler, spec) -> Column:
-    v = _numbers(k, spec)
-    kind = k.df.select(Compiler(k.df, k.variables, True).column(v)).schema[0].dataType.elementType if not k.variables else T.DoubleType()
-    if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+    v, specs = _numbers(k, spec), k.specs(spec)
+    kinds = [k.element_kind(specs[0])] if len(specs) == 1 and isinstance(k.kind(specs[0]), T.ArrayType) else [k.kind(s) for s in specs]
+    kinds = [t for t in kinds if isinstance(t, NUMERIC)]
+    if kinds and all(isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for t in kinds):
         return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
     return _folded(v)
 
@@ -1087,7 +1093,7 @@ def _converted(k: Compiler, spec, to: str) -> Column:
             return F.timestamp_seconds(F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long"))
         return F.try_to_timestamp(c) if isinstance(kind, T.StringType) else c.cast("timestamp")
     if to in ("int", "long") and isinstance(kind, DATES):
-        return F.unix_millis(c)
+        return millis(c)
     if to in ("int", "long") and isinstance(kind, (*FLOATING, T.DecimalType)):
         low, high = (-(2**31), 2**31 - 1) if to == "int" else (-(2**63), 2**63 - 1)
         return F.when(c.between(low, high), c.cast(to))

@@ -129,13 +129,14 @@ def _moving_average(k: Compiler, arg: dict, ordered) -> Column:
 
 def _calculus(k: Compiler, name: str, arg: dict, sort: dict, w) -> Column:
     x, dated = _single(k, sort, name)
-    x = x.cast("double") / (MILLIS[arg.get("unit", "millisecond")] if dated else 1)
+    # distances are taken before they are scaled: scaled dates would lose their last digits
+    unit = float(MILLIS[arg.get("unit", "millisecond")] if dated else 1)
     y = k.column(arg["input"]).cast("double")
     if name == "$derivative":
-        dx = F.last(x).over(w) - F.first(x).over(w)
+        dx = (F.last(x).over(w) - F.first(x).over(w)) / F.lit(unit)
         return F.when(dx != 0, (F.last(y).over(w) - F.first(y).over(w)) / dx)
     rows = F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(w)
-    areas = F.zip_with(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda a, b: (b["x"] - a["x"]) * (a["y"] + b["y"]) / 2)
+    areas = F.zip_with(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda a, b: (b["x"] - a["x"]) / F.lit(unit) * (a["y"] + b["y"]) / 2)
     return F.aggregate(areas, F.lit(0.0), lambda s, v: s + v)
 
 

@@ -434,6 +434,10 @@ def _equalities(df: DataFrame, right: DataFrame, spec: dict) -> tuple[list, list
     return pairs, pipeline
 
 
+#: Stages that treat each foreign row alone, so that they may run before the join.
+_ROW_STAGES = ("$match", "$project", "$addFields", "$set", "$unset", "$unwind")
+
+
 def _correlated(engine, df: DataFrame, spec: dict, right: DataFrame | None, state) -> DataFrame:
     """$lookup with let and pipeline: an equality becomes a hash join, what is left its condition."""
     name, lets = spec["as"], spec.get("let", {})
@@ -446,19 +450,21 @@ def _correlated(engine, df: DataFrame, spec: dict, right: DataFrame | None, stat
     left = left.withColumns({bound[v][0]: k.column(e) for v, e in lets.items()}) if lets else left
     pairs, pipeline = _equalities(df, right, spec)
     uses = "$$" in repr(pipeline) and any("$$" + v in repr(pipeline) for v in lets)
-    if not uses:
-        # the pipeline doesn't look at the row: it runs once
+    inner = None
+    if not uses and (not pairs or all(next(iter(s)) in _ROW_STAGES for s in pipeline)):
         inner = engine.run(right, pipeline)
-        if pairs and all(f in inner.columns for _, f in pairs):
+        if pairs and not all(f in inner.columns for _, f in pairs):
+            inner = None
+    if inner is not None:
+        # the pipeline doesn't look at the row: it runs once
+        if pairs:
             rows = inner.select(*(F.col(quoted(f)).alias(f"__k_{i}") for i, (_, f) in enumerate(pairs)), _foreign_row(inner).alias("__row"))
             gathered = rows.groupBy(*(f"__k_{i}" for i in range(len(pairs)))).agg(F.collect_list("__row").alias("__rows"))
             on = [left[bound[v][0]].eqNullSafe(gathered[f"__k_{i}"]) for i, (v, _) in enumerate(pairs)]
             out = left.join(gathered, on, "left")
-        elif not pairs:
+        else:
             gathered = inner.agg(F.collect_list(_foreign_row(inner)).alias("__rows"))
             out = left.crossJoin(gathered)  # one row
-        else:
-            raise ExpressionError("the pipeline drops a field that the equality needs")
         none = F.array().cast(out.schema["__rows"].dataType)
         return out.withColumn(name, F.coalesce("__rows", none)).select(*df.drop(name).columns, name)
     # the rest of the pipeline sees let variables as columns beside the foreign row;

@@ -393,3 +393,6 @@ ORACLES["variant_props"] = "SELECT event_id, json_type(props) = 'OBJECT' AS is_o
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["group_pricing_summary"](spark, sf_dir)
+
+
+from . import families  # noqa: E402,F401  registers further queries

@@ -7,6 +7,7 @@ file source's own offsets as resume tokens.
 
 from __future__ import annotations
 
+import itertools
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +25,32 @@ class ChangeLog:
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
+        self._writes = itertools.count()
 
     def record(self, operation: str, docs: DataFrame, before: DataFrame | None = None) -> None:
         """Appends insert, update, replace or delete events of ``docs`` (with pre-images, if given)."""
-        body = F.struct("*")
-        events = docs.select(F.lit(operation).alias("operationType"), F.lit(int(time.time() * 1000)).alias("clusterTime"), F.to_json(body).alias("fullDocument"), (F.col("_id").cast("string") if "_id" in docs.columns else F.lit(None).cast("string")).alias("documentKey"))
+        body, now = F.struct("*"), int(time.time() * 1000)
+        full = F.to_json(body) if operation != "delete" else F.lit(None).cast("string")
+        events = docs.select(F.lit(operation).alias("operationType"), F.lit(now).alias("clusterTime"), full.alias("fullDocument"), (F.col("_id").cast("string") if "_id" in docs.columns else F.lit(None).cast("string")).alias("documentKey"))
         if before is not None and "_id" in before.columns:
             old = before.select(F.col("_id").cast("string").alias("documentKey"), F.to_json(body).alias("fullDocumentBeforeChange"))
             events = events.join(old, "documentKey", "left")
         else:
             events = events.withColumn("fullDocumentBeforeChange", F.lit(None).cast("string"))
-        events.select("operationType", "clusterTime", "documentKey", "fullDocument", "fullDocumentBeforeChange").write.mode("append").parquet(self.path)
+        # writes of one millisecond differ by their number, rows of one write by their key
+        events = events.withColumn("token", F.concat(F.lit(f"{now:015d}-{next(self._writes):06d}-"), F.coalesce("documentKey", F.lit(""))))
+        events.select("token", "operationType", "clusterTime", "documentKey", "fullDocument", "fullDocumentBeforeChange").write.mode("append").parquet(self.path)
 
-    def watch(self, pipeline: list[dict] | None = None, since: int | None = None) -> DataFrame:
-        """A streaming DataFrame of events, documents parsed, after per-row stages."""
-        events = self.spark.readStream.schema("operationType string, clusterTime long, documentKey string, fullDocument string, fullDocumentBeforeChange string").parquet(self.path)
+    def watch(self, pipeline: list[dict] | None = None, since: int | None = None, resume_after: str | None = None) -> DataFrame:
+        """A streaming DataFrame of events, documents parsed, after per-row stages.
+
+        ``since`` is a time in milliseconds, ``resume_after`` the token of the last event seen.
+        """
+        events = self.spark.readStream.schema("token string, operationType string, clusterTime long, documentKey string, fullDocument string, fullDocumentBeforeChange string").parquet(self.path)
         if since is not None:
             events = events.where(F.col("clusterTime") >= since)
+        if resume_after is not None:
+            events = events.where(F.col("token") > resume_after)
         for c in ("fullDocument", "fullDocumentBeforeChange"):
             events = events.withColumn(c, F.from_json(c, self.schema))
         return apply_stream(Database(self.spark), events, pipeline or [])
