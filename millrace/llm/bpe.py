@@ -1,17 +1,21 @@
 """BPE encoding and decoding by speculation and verification.
 
 A greedy longest match proposes the tokens of every new word. A proposal is
-the true merge result exactly if each adjacent pair of its tokens is
-*compatible*: merging the two tokens' characters alone gives the two tokens
-back. (Merges inside a token don't depend on its neighbours until some merge
-crosses a border, and the first merge to cross one also crosses it when only
-the two tokens beside it are present.) All adjacent pairs of a batch are
-tested at once as arrays against memoised verdicts, and only the words of
-which some pair fails are merged exactly.
+the true merge result exactly if each of its tokens is what its own characters
+merge to, and each adjacent pair is *compatible*: no merge crosses the border
+between the two. Merges happen in order of rank, so each token has a birth (the
+rank that made it) and its border pieces are born and merged away at known
+ranks; a pair is followed back from its whole tokens to their border
+characters, always taking apart the piece that was made last, and a border
+merge of lower rank than what merged the pieces away would have come first.
+All adjacent pairs of a batch take these steps together as arrays: a search in
+the sorted ranks for each step. Only words with a failing pair are merged
+exactly.
 
 Reads a ``tokenizers`` JSON file of a byte-level BPE with word ends: NFC,
-lower case, words by pattern, bytes as characters, last one with ``</w>``.
-Special tokens in a text become their ids, as in the library. A null text
+lower case, words by pattern, bytes as characters, last one with ``</w>``. The
+driver reads the file and broadcasts its bytes. Special tokens in a text become
+their ids, as in the library. Decoding goes from ids. A null text
 encodes as an empty one: no tokens, digests of the empty string. Rows are
 handled alone; repeated rows and ties need nothing special.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from .common import ship, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words (and pairs) that a Python worker remembers; beyond it starts afresh.
+#: Words that a Python worker remembers; beyond it starts afresh.
 REMEMBERED = 500_000
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -74,8 +78,9 @@ def _byte_chars() -> list[str]:
 class Encoder:
     """Exact encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, source: str | bytes):
+        """``source`` is the file's path, or its content as bytes."""
+        spec = json.loads(source if isinstance(source, bytes) else open(source, "rb").read())
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = dict(model["vocab"])
@@ -86,8 +91,17 @@ class Encoder:
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = _byte_chars()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, str]] = {}
+        self.by_text = {str(i): t for i, t in self.tokens.items()}
+        # merges by ids, sorted, with their ranks
+        codes = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges if a in self.vocab and b in self.vocab], np.int64)
+        ranks = np.array([i for i, (a, b) in enumerate(merges) if a in self.vocab and b in self.vocab], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.code_ranks = codes[order], ranks[order]
+        # of each token: its last merge (left, right, rank), -1 for characters; -2 while unknown, and whether its characters merge to it
+        top = max(self.tokens) + 1
+        self.left, self.right, self.birth = np.full(top, -2, np.int64), np.full(top, -2, np.int64), np.full(top, -1, np.int64)
+        self.whole = np.zeros(top, bool)
 
     def normal(self, text: str) -> str:
         text = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
@@ -167,21 +181,67 @@ class Encoder:
                 return self.exact(s)
         return out
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the characters of tokens a and b gives a and b (b < 0: a alone)."""
-        left = self.tokens[a]
-        whole = left + (self.tokens[b] if b >= 0 else "")
-        core = whole.removesuffix(self.end)
-        parts = [*core[:-1], core[-1] + self.end] if whole != core else [*core]
-        want = [left, self.tokens[b]] if b >= 0 else [left]
-        return self.merge(parts) == want
+    def split_of(self, token: int) -> None:
+        """Find out how a token's own characters merge, and enter its pieces."""
+        t = self.tokens[token]
+        core = t.removesuffix(self.end)
+        parts = [*core[:-1], core[-1] + self.end] if t != core and core else [*core]
+        if len(parts) < 2:
+            self.left[token] = self.right[token] = -1
+            self.whole[token] = True
+            return
+        rank, none = self.ranks.get, len(self.ranks)
+        while len(parts) > 2:  # down to the last merge
+            of = [rank(p, none) for p in zip(parts, parts[1:])]
+            best = min(of)
+            if best == none:
+                break
+            at = of.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        last = rank((parts[0], parts[1]), none) if len(parts) == 2 else none
+        if last == none:
+            self.left[token] = self.right[token] = -1
+            return  # never the result of merging: no proposal with it stands
+        self.left[token], self.right[token], self.birth[token] = self.vocab[parts[0]], self.vocab[parts[1]], last
+        self.whole[token] = True
+
+    def _known(self, tokens: np.ndarray) -> None:
+        """Enter these tokens and all their pieces."""
+        while len(tokens := np.unique(tokens[self.left[tokens] == -2])):
+            for t in tokens.tolist():
+                self.split_of(t)
+            tokens = np.concatenate([self.left[tokens], self.right[tokens]])
+            tokens = tokens[tokens >= 0]
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair of tokens stays two tokens when their characters stand together (b < 0: a alone)."""
+        self._known(np.concatenate([a, b[b >= 0]]))
+        good = self.whole[a] & ((b < 0) | self.whole[np.maximum(b, 0)])
+        at = np.flatnonzero(good & (b >= 0))
+        x, y = a[at], b[at]
+        never = np.int64(len(self.ranks) + 1)
+        gone_x, gone_y = np.full(len(at), never), np.full(len(at), never)  # when each piece was merged away
+        while len(at):
+            code = x << 20 | y
+            i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            rank = np.where(self.codes[i] == code, self.code_ranks[i], never)
+            # at equal ranks the leftmost merge comes first: one inside x before the border's, one inside y after it
+            crossed = (rank < gone_x) & (rank <= gone_y) & (rank < never)
+            good[at[crossed]] = False
+            bx, by = self.birth[x], self.birth[y]
+            on = ~crossed & ((bx >= 0) | (by >= 0))
+            at, x, y, gone_x, gone_y, bx, by = (v[on] for v in (at, x, y, gone_x, gone_y, bx, by))
+            back_x = bx > by  # equal merges ran from left to right, so y's was the later one
+            x, gone_x = np.where(back_x, self.right[x], x), np.where(back_x, bx, gone_x)
+            y, gone_y = np.where(back_x, y, self.left[y]), np.where(back_x, gone_y, by)
+        return good
 
     def learn(self, new: list[str]) -> None:
         """Encode new words: propose all, verify all pairs at once, mend failures."""
         plain = [w for w in new if w[0] != " "]
         for w in new:
             if w[0] == " ":
-                self.words[w] = (1, str(self.special[w[1:]]), w[1:])
+                self.words[w] = (1, str(self.special[w[1:]]))
         if not plain:
             return
         spelt = [self.symbols(w) for w in plain]
@@ -195,45 +255,38 @@ class Encoder:
         keep = np.ones(len(ids), bool)
         keep[last[sizes > 1]] = False  # the last token has no right neighbour
         codes, where = np.unique(ids[keep] << 20 | (after[keep] + 1), return_inverse=True)
-        pairs = self.pairs
-        verdicts = np.empty(len(codes), bool)
-        for i, c in enumerate(codes.tolist()):
-            v = pairs.get(c)
-            if v is None:
-                v = pairs[c] = self.compatible(c >> 20, (c & 0xFFFFF) - 1)
-            verdicts[i] = v
+        verdicts = self.compatible(codes >> 20, (codes & 0xFFFFF) - 1)
         owner = np.repeat(np.arange(len(plain)), sizes)[keep]
         good = np.ones(len(plain), bool)
         good[owner[~verdicts[where]]] = False
         for w, s, p, ok in zip(plain, spelt, proposed, good.tolist(), strict=True):
             if not ok:
                 p = self.exact(s)
-            self.words[w] = (len(p), " ".join(map(str, p)), " ".join([self.tokens[t] for t in p]))
+            self.words[w] = (len(p), " ".join(map(str, p)))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: the number of tokens, their ids and the decoded text, space-joined."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        if len(self.pairs) > 4 * REMEMBERED:
-            self.pairs.clear()
         split = [self.pieces(t) for t in texts]
         known = self.words
         self.learn([w for w in dict.fromkeys(w for p in split for w in p) if w not in known])
         out = []
         for p in split:
             got = [known[w] for w in p]
-            out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+            ids = " ".join([g[1] for g in got])
+            out.append((sum([g[0] for g in got]), ids, self.decode(ids)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library without a decoder: token strings joined by spaces."""
-        return " ".join(self.tokens[i] for i in ids)
+    def decode(self, ids: str) -> str:
+        """Of ids joined by spaces, as the library without a decoder: token strings joined by spaces."""
+        return " ".join([*map(self.by_text.__getitem__, ids.split(" "))]) if ids else ""
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(source: str | bytes) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
-    return Encoder(path)
+    return Encoder(source)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -246,9 +299,11 @@ def _sha(s: str) -> str:
 def _mapped(docs: DataFrame, path: str, make, schema: pa.Schema, ddl: str, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     ship(docs.sparkSession)
+    with open(path, "rb") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(content.value)
         for batch in batches:
             if batch.num_rows:
                 rows = [make(d, *g) for d, g in zip(batch[0].to_pylist(), enc.encode_batch([t or "" for t in batch[1].to_pylist()]), strict=True)]
