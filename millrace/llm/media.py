@@ -1,10 +1,14 @@
-"""Media columns: payload bytes in an MPEG transport stream.
+"""Media columns: payload bytes in stored MPEG transport streams.
 
 ``mux`` wraps a payload of 8-bit samples in a single-program transport
-stream (PAT, PMT, PES with PTS, PCR and random-access flags); ``demux`` reads
-any such stream back from its packets: it parses the program tables, checks
-the continuity counters of every PID, reassembles the elementary packets and
-lists time stamps and random-access points.
+stream (PAT, PMT, PES with PTS, PCR and random-access flags). ``media_streams``
+makes a column of them; ``media_columns`` stores it in the shared folder and
+reads the stored bytes back. ``demux`` reads any such stream from its packets:
+it parses the program tables, whose sections may span packets, checks the
+continuity counters of every PID, reassembles the elementary packets of every
+stream and lists time stamps and random-access points. Null packets, packets
+without payload, legal duplicates and signalled discontinuities are no errors.
+A unit that misses packets is left out and counted (``strict`` raises instead).
 
 Null texts count as empty; an empty text is one frame of padding. Equal texts
 give equal streams. Each row is handled alone, so repeated rows, ties and
@@ -15,17 +19,18 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import cut, map_rows
 
 PACKET = 188
 FRAME = 576
 UNIT = 28 * FRAME  # bytes of payload in one elementary packet (access unit)
-PMT_PID, ES_PID = 0x1000, 0x0100
+PMT_PID, ES_PID, NULL_PID = 0x1000, 0x0100, 0x1FFF
 STREAM_TYPE = 0x06  # private data in PES packets
 TICKS = 90_000 * UNIT // 48_000  # 48,000 samples a second on a 90 kHz clock
 FIRST_PTS = 90_000
@@ -110,67 +115,135 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(parts).tobytes()
 
 
-def _read_section(packet: np.ndarray, start: int) -> bytes:
-    raw = packet.tobytes()
-    at = start + 1 + raw[start]
-    n = 3 + ((raw[at + 1] & 15) << 8 | raw[at + 2])
-    section = raw[at : at + n]
-    if crc_mpeg(section):
-        raise ValueError("a program table's checksum is wrong")
-    return section
+@lru_cache(1000)
+def _sound(section: bytes) -> bool:
+    return not crc_mpeg(section)
+
+
+class _Packets:
+    """The packets of one PID that count: with payload, each once, with the places where some are missing."""
+
+    def __init__(self, a: np.ndarray, rows: np.ndarray, start: np.ndarray, flags: np.ndarray):
+        cc = (a[rows, 3] & 15).astype(np.int32)
+        again = np.zeros(len(rows), bool)
+        for i in (np.flatnonzero(cc[1:] == cc[:-1]) + 1).tolist():  # sent twice, which is legal once, if the count goes on from there
+            goes_on = i + 1 == len(cc) or cc[i + 1] in (cc[i], (cc[i] + 1) & 15)
+            again[i] = not again[i - 1] and goes_on and (a[rows[i], 4:] == a[rows[i - 1], 4:]).all()
+        rows, cc = rows[~again], cc[~again]
+        told = (flags[rows] & 0x80) != 0
+        self.rows, self.start = rows, start[rows]
+        self.gap = np.r_[False, (((cc[1:] - cc[:-1]) & 15) != 1) & ~told[1:]] if len(rows) else np.zeros(0, bool)
+        self.begins = (a[rows, 1] & 0x40) != 0
+        self.random_access = (flags[rows] & 0x40) != 0
+
+
+def _sections(a: np.ndarray, p: _Packets) -> list[bytes]:
+    """The different sections that a PID carries, in order of their first copy."""
+    out: dict[bytes, None] = {}
+    open_, raw = False, bytearray()
+
+    def cut_off() -> None:
+        nonlocal open_
+        while len(raw) >= 3 and raw[0] != 0xFF:
+            n = 3 + ((raw[1] & 15) << 8 | raw[2])
+            if len(raw) < n:
+                return
+            section = bytes(raw[:n])
+            if not _sound(section):
+                raise ValueError("a program table's checksum is wrong")
+            out[section] = None
+            del raw[:n]
+        open_ = len(raw) > 0 and raw[0] != 0xFF
+
+    for row, start, begins, gap in zip(p.rows.tolist(), p.start.tolist(), p.begins.tolist(), p.gap.tolist(), strict=True):
+        data = a[row, start:].tobytes()
+        if gap:
+            open_ = False
+        if begins and data:
+            at = 1 + data[0]
+            if open_:
+                raw += data[1:at]
+                cut_off()
+            raw[:] = data[at:]
+            open_ = True
+        elif open_:
+            raw += data
+        if open_:
+            cut_off()
+    return list(out)
+
+
+def _units(a: np.ndarray, p: _Packets, strict: bool) -> dict:
+    """The elementary packets of a PID: bodies, time stamps, random-access flags, units lost."""
+    rows = a[p.rows]
+    data = rows[np.arange(PACKET)[None, :] >= p.start[:, None]].tobytes()
+    ends = np.cumsum(PACKET - p.start)
+    at = np.flatnonzero(p.begins)
+    opens = (ends - (PACKET - p.start))[at].tolist() + [len(data)]
+    # a unit that states its length is whole if it has it; another is if no packet is missing up to its successor
+    gaps = np.r_[0, np.cumsum(p.gap)]
+    broken = gaps[np.r_[at[1:] + 1, len(p.gap)]] > gaps[at + 1] if len(at) else np.zeros(0, bool)
+    body, stamps, rap, lost = [], [], [], 0
+    for k, (lo, hi) in enumerate(zip(opens, opens[1:], strict=False)):
+        size = data[lo + 4] << 8 | data[lo + 5] if hi - lo >= 9 else -1
+        whole = hi - lo >= 9 and data[lo : lo + 3] == b"\x00\x00\x01" and (lo + 6 + size == hi or (size == 0 and not broken[k]))
+        if not whole:
+            if strict:
+                raise ValueError("a broken elementary packet")
+            lost += 1
+            continue
+        t = data[lo + 9 : lo + 14] if data[lo + 7] & 0x80 else None
+        stamps.append(None if t is None else (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1)
+        rap.append(bool(p.random_access[at[k]]))
+        body.append(data[lo + 9 + data[lo + 8] : hi])
+    return {"payload": b"".join(body), "pts": stamps, "rap": rap, "lost": lost}
+
 
+def demux(stream: bytes, strict: bool = True) -> dict:
+    """Read a transport stream.
 
-def demux(stream: bytes) -> dict:
-    """Read a transport stream: payload, time stamps, random-access points, errors."""
+    ``programs`` maps program numbers to the PIDs of their tables, ``network``
+    is the network's PID or -1, ``streams`` maps elementary PIDs to stream
+    types, ``units`` to what each holds; ``payload``, ``pts`` and ``rap`` are
+    those of the first stream. ``errors`` counts breaks of continuity and
+    packets marked as damaged, ``lost`` the units left out.
+    """
     if len(stream) % PACKET or not stream:
         raise ValueError("not a whole number of packets")
     a = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (a[:, 0] != 0x47).any():
         raise ValueError("lost sync")
     pid = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
-    begins = (a[:, 1] & 0x40) != 0
     field = (a[:, 3] & 0x20) != 0
     start = np.where(field, 5 + a[:, 4].astype(np.int32), 4)
-    flags = np.where(field & (start > 5), a[:, 5], 0)
-    errors = 0
-    for p in np.unique(pid):
-        cc = (a[pid == p, 3] & 15).astype(np.int32)
-        errors += int((((cc[1:] - cc[:-1]) & 15) != 1).sum())
-    seen: dict[tuple[int, bytes], bytes] = {}
-
-    def sections(p: int) -> list[bytes]:
-        rows = np.flatnonzero((pid == p) & begins)
-        return list(dict.fromkeys(seen.setdefault((p, a[r, 4:].tobytes()), b"") or _read_section(a[r], int(start[r])) for r in rows[:1]))
-
-    programs = {}
-    for s in sections(0):
-        for i in range(8, len(s) - 4, 4):
-            programs[s[i] << 8 | s[i + 1]] = (s[i + 2] & 31) << 8 | s[i + 3]
+    flags = np.where(field & (a[:, 4] > 0), a[:, 5], 0)
+    bad = ((a[:, 1] & 0x80) != 0) | (start > PACKET)
+    use = ((a[:, 3] & 0x10) != 0) & (pid != NULL_PID) & ~bad
+    kept = {int(p): _Packets(a, np.flatnonzero(use & (pid == p)), start, flags) for p in np.unique(pid[use])}
+    none = _Packets(a, np.zeros(0, np.int64), start, flags)
+    programs, network = {}, -1
+    for s in _sections(a, kept.get(0, none)):
+        if s[0] == 0x00 and s[5] & 1:
+            for i in range(8, len(s) - 4, 4):
+                number, at = s[i] << 8 | s[i + 1], (s[i + 2] & 31) << 8 | s[i + 3]
+                if number:
+                    programs[number] = at
+                else:
+                    network = at
     streams, clock = {}, -1
-    for pmt in programs.values():
-        for s in sections(pmt):
-            clock = (s[8] & 31) << 8 | s[9]
+    for number, pmt in sorted(programs.items()):
+        for s in _sections(a, kept.get(pmt, none)):
+            if s[0] != 0x02 or not s[5] & 1 or s[3] << 8 | s[4] != number:
+                continue
+            clock = (s[8] & 31) << 8 | s[9] if clock < 0 else clock
             i = 12 + ((s[10] & 15) << 8 | s[11])
             while i < len(s) - 4:
                 streams[(s[i + 1] & 31) << 8 | s[i + 2]] = s[i]
                 i += 5 + ((s[i + 3] & 15) << 8 | s[i + 4])
-    es = next(iter(streams))
-    own = pid == es
-    rows, first, at = a[own], start[own], begins[own]
-    data = rows[np.arange(PACKET)[None, :] >= first[:, None]].tobytes()
-    ends = np.cumsum(PACKET - first)
-    opens = (ends - (PACKET - first))[at].tolist() + [len(data)]
-    rap = (flags[own][at] & 0x40) != 0
-    body, stamps = [], []
-    for lo, hi in zip(opens, opens[1:], strict=False):
-        size = data[lo + 4] << 8 | data[lo + 5]
-        if data[lo : lo + 3] != b"\x00\x00\x01" or lo + 6 + size != hi:
-            raise ValueError("a broken elementary packet")
-        if data[lo + 7] & 0x80:
-            t = data[lo + 9 : lo + 14]
-            stamps.append((t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1)
-        body.append(data[lo + 9 + data[lo + 8] : hi])
-    return {"payload": b"".join(body), "programs": programs, "streams": streams, "clock_pid": clock, "pts": stamps, "rap": rap.tolist(), "errors": errors, "packets": len(a)}
+    units = {p: _units(a, kept.get(p, none), strict) for p in streams}
+    first = units[next(iter(units))] if units else {"payload": b"", "pts": [], "rap": []}
+    errors = int(bad.sum()) + sum(int(p.gap.sum()) for p in kept.values())
+    return {"payload": first["payload"], "programs": programs, "network": network, "streams": streams, "units": units, "clock_pid": clock, "pts": first["pts"], "rap": first["rap"], "errors": errors, "lost": sum(u["lost"] for u in units.values()), "packets": len(a)}
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -183,9 +256,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_
 _DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<boolean>"
 
 
-def _row(doc_id, text):
-    payload, n = payload_of(text)
-    stream = mux(payload)
+def _row(doc_id, n, stream):
     got = demux(stream)
     back = got["payload"]
     es, kind = next(iter(got["streams"].items()))
@@ -194,16 +265,28 @@ def _row(doc_id, text):
     return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, got["pts"], got["rap"]
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its stream's digests, features and index.
+_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+
+
+def media_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each document's stream, and its bytes before padding."""
+
+    def row(doc_id, text):
+        payload, n = payload_of(text)
+        return doc_id, n, mux(payload)
+
+    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), row, _STORED, "doc_id long, n_bytes long, media binary")
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """One row per stored stream: its digests, features and index.
 
     ``pts`` holds the time stamp of every access unit, ``random_access``
-    whether decoding may begin there. Other columns of ``docs`` aren't read.
+    whether decoding may begin there.
     """
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), _row, _SCHEMA, _DDL)
+    return map_rows(stored.select("doc_id", "n_bytes", "media"), _row, _SCHEMA, _DDL)
 
 
-def media_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The streams themselves, for a sink: (doc_id, media)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
-    return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), lambda d, t: (d, mux(payload_of(t)[0])), schema, "doc_id long, media binary")
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents' streams, stored in the shared folder and read back; other columns of ``docs`` aren't read."""
+    return read_media(cut(media_streams(docs, id_col, text_col), "media"))

@@ -113,3 +113,88 @@ def test_warc_equal_payloads_and_odd_urls(spark, monkeypatch, hot):
     assert sorted(map(tuple, warc.lookup_all(docs.select("url"), index).collect())) == want
     some = docs.where("url = 'http://b.org/' or url = ''").select("url")
     assert sorted(x.page_id for x in warc.lookup_all(some, index).collect()) == [i for i, u, _, _ in rows if u in (None, "", "http://b.org/")]
+
+
+def packets(stream):
+    return [stream[i : i + 188] for i in range(0, len(stream), 188)]
+
+
+def renumbered(parts, pid):
+    """The packets of a PID with its continuity counted anew."""
+    out, n = [], 0
+    for p in parts:
+        q = bytearray(p)
+        if (q[1] & 31) << 8 | q[2] == pid and q[3] & 0x10:
+            q[3] = q[3] & 0xF0 | n & 15
+            n += 1
+        out.append(bytes(q))
+    return out
+
+
+def test_legal_packets_are_no_errors():
+    payload = bytes(range(256)) * 9 * 30
+    stream = media.mux(payload)
+    parts = packets(stream)
+    null = b"\x47\x1f\xff\x10" + b"\xff" * 184
+    clock_only = b"\x47\x01\x00\x20" + bytes((183, 0x10)) + b"\x00" * 182
+    told = bytearray(parts[9])
+    told[3:] = bytes((0x20 | told[3] & 0x1F, 1, 0x80)) + bytes(183)
+    for changed in (parts[:7] + [parts[6]] + parts[7:], parts[:5] + [null, null] + parts[5:], parts[:8] + [clock_only] + parts[8:]):
+        got = media.demux(b"".join(changed))
+        assert got["errors"] == got["lost"] == 0 and got["payload"] == payload
+    assert media.demux(b"".join(parts[:7] + [parts[6], parts[6]] + parts[7:]), strict=False)["errors"] > 0
+
+
+def test_losses_are_reported():
+    payload = bytes(range(251)) * 576
+    parts = packets(media.mux(payload))
+    whole = media.demux(b"".join(parts))
+    units = [payload[i : i + media.UNIT] for i in range(0, len(payload), media.UNIT)]
+    got = media.demux(b"".join(parts[:40] + parts[41:]), strict=False)
+    assert got["errors"] == 1 and got["lost"] == 1 and got["payload"] == b"".join(units[1:]) and got["pts"] == whole["pts"][1:]
+    damaged = bytearray(b"".join(parts))
+    damaged[188 * 200 + 1] |= 0x80
+    got = media.demux(bytes(damaged), strict=False)
+    assert got["errors"] == 2 and got["lost"] == 1 and len(got["payload"]) < len(payload)
+
+
+def test_several_programs_and_long_tables():
+    payload = b"xyz" * 192 * 100
+    one = packets(media.mux(payload))
+    pat = media._section(0x00, 1, bytes((0, 0, 0xE0, 0x10, 0, 1, 0xF0, 0x00, 0, 2, 0xF0, 0x01)))
+    info = bytes((0xE2, 0x00, 0xF0, 255)) + b"\x05\xfd" + b"n" * 253 + bytes((0x06, 0xE2, 0x00, 0xF0, 0))  # longer than a packet
+    pmt = media._section(0x02, 2, info)
+    first = b"\x47\x50\x01\x10\x00" + pmt[:183]
+    rest = b"\x47\x10\x01\x11" + pmt[183:].ljust(184, b"\xff")
+    other = []
+    for p in one:
+        if p[1] & 31 == 1 and p[2] == 0:
+            other.append(bytes((0x47, p[1] & 0x40 | 2, 0)) + p[3:])
+    mixed = [media._table_packet(0, pat).tobytes(), one[1], first, rest]
+    own = [p for p in one if p[1] & 31 == 1 and p[2] == 0]
+    for a, b in zip(own, other, strict=True):
+        mixed += [a, b]
+    got = media.demux(b"".join(mixed))
+    assert got["programs"] == {1: 0x1000, 2: 0x1001} and got["network"] == 0x10 and got["streams"] == {0x100: 6, 0x200: 6}
+    assert got["units"][0x100]["payload"] == got["units"][0x200]["payload"] == payload and got["errors"] == 0
+
+
+def test_bpe_pairs_against_merging():
+    """Compatibility by steps equals merging the characters of both tokens."""
+    P = pytest.importorskip("public_tokenizers")
+    import numpy as np
+
+    e, r = bpe.encoder(P.path(bpe.TOKENIZER)), random.Random(3)
+    ids = [i for t, i in e.vocab.items() if t.removesuffix(e.end)]
+    inner = [i for i in ids if not e.tokens[i].endswith(e.end)]
+    short = [i for i in inner if len(e.tokens[i]) < 4]
+    pairs = [(r.choice(inner), r.choice(ids)) for _ in range(3000)] + [(r.choice(short), r.choice(short)) for _ in range(6000)] + [(i, i) for i in inner[:3000]] + [(i, -1) for i in ids[:3000]]
+
+    def by_merging(a, b):
+        whole = e.tokens[a] + (e.tokens[b] if b >= 0 else "")
+        core = whole.removesuffix(e.end)
+        parts = [*core[:-1], core[-1] + e.end] if whole != core else [*core]
+        return e.merge(parts) == ([e.tokens[a], e.tokens[b]] if b >= 0 else [e.tokens[a]])
+
+    a, b = np.array(pairs).T
+    assert e.compatible(a, b).tolist() == [by_merging(x, y) for x, y in pairs]
