@@ -74,3 +74,31 @@ def test_sequences(spark):
     rows = packing.sequences(packed, docs).collect()
     assert Counter(t for r in rows for t in r.tokens) == Counter({i: i % 700 for i in range(40, 900, 37) if i % 700})
     assert all(len(r.tokens) <= r.bin_size for r in rows)
+
+
+def test_plan_is_one_by_one_best_fit_and_the_joint_plan_is_no_dearer():
+    r = random.Random(8)
+    gains = 0
+    for _ in range(80):
+        caps = tuple(sorted(r.sample([8, 16, 24, 32, 64, 96], r.randint(1, 4))))
+        lengths = [r.choice((r.randint(1, caps[-1]), r.randint(1, 9), caps[0])) for _ in range(r.randint(1, 150))]
+        lengths = [min(n, caps[-1]) for n in lengths]
+        histogram = dict(Counter(lengths))
+        bins = lambda ranges: sorted((int(s), int(u)) for _, k, s, u in ranges for _ in range(k))
+        # with one length, bins of equal room are equal, so nothing depends on which of them is taken
+        assert bins(packing.plan(histogram, caps[-1:])[1]) == one_by_one(lengths, caps[-1:])
+        placed, ranges = packing.best_plan(histogram, caps)
+        assert Counter({int(n): int(sum(placed[placed[:, 0] == n, 2])) for n in set(lengths)}) == Counter(lengths)
+        mine, theirs = packing.total_cost(ranges), packing.total_cost(packing.plan(histogram, caps)[1])
+        assert mine <= theirs + 1e-9
+        gains += mine < theirs - 1e-9
+    assert gains > 0
+
+
+def test_common_lengths_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 7)
+    docs = spark.createDataFrame([(i, "w " * (3 if i % 3 else 9000)) for i in range(200)] + [(1, "a b c"), (None, "a b c")], "doc_id long, text string")
+    sizes = Counter()
+    for x in docs.collect():
+        sizes[x.doc_id] += len(x.text.split())
+    check(packing.pack(docs).collect(), sizes)
