@@ -87,3 +87,23 @@ def test_rare_languages_reject_too(spark, sf01):
         assert all(x[2] for x in models.predict(noise))
         kept = [not x[2] for x in models.predict([x.text for v in own.values() for x in v[size:]])]
         assert sum(kept) / len(kept) > 0.99
+
+
+def test_cascade_takes_what_earlier_rules_leave():
+    # rule 0 rejects what rule 1 rejects and no more; rule 2 few others, cheaply
+    assert quality.cascade({0b011: 50, 0b010: 20, 0b100: 10, 0: 20}, [1.0, 1.0, 0.5]) == [1, 2, 0]
+    assert quality.cascade({0: 5}, [3.0, 1.0, 2.0]) == [1, 2, 0]
+    assert quality._shared(list(quality.BASE + quality.RULES)) == ["n_words", "word_chars"]
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    docs = with_clashes(awkward(spark))
+    models = langid.train(table(spark, sf, "documents"))
+    kept = langid.keep_identified(docs, models)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    texts = [r.text for r in kept.collect()]
+    assert None not in texts and "" not in texts and "!!! ### $$$ %%%" not in texts
+    assert langid.keep_identified(empty(spark), models).count() == 0
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in docs.collect() if rules_of(r.text)[-1])
