@@ -3,15 +3,19 @@
 One model of order ``ORDER`` per language. The counts of all orders follow
 from those of the highest: a lower order counts the distinct characters seen
 before a gram. Discounted probabilities and interpolation weights of all
-languages lie beside each other in arrays sorted by gram hash, and a text's
-grams are looked up by binary search. The language of lowest cross-entropy a
-character is chosen; a calibrated score and a rejection come with it. Languages
-with fewer than ``OWN_ROWS`` calibration rows, or none, have a limit too, a wider one.
-
-The models are fitted on a bounded sample of labelled rows: about
-``SAMPLE_DOCS`` whole texts of each language, chosen by a hash of the id among
-rows with a language and crc32(id) mod 5 other than 0. Rows with remainder 4
-calibrate; the rest are counted.
+languages lie in arrays sorted by gram hash, each gram with an entry for the
+languages that have it, and a text's grams are looked up by binary search. The
+language of lowest cross-entropy a symbol is chosen; a calibrated score and a
+rejection come with it. Languages with fewer than ``OWN_ROWS`` calibration rows,
+or none, have a limit too, a wider one. A letter is a symbol; beyond
+``WIDE`` it is two, its page and its place in the page, so that none share one.
+
+The models are fitted on a bounded sample of labelled rows: whole texts of
+about ``SAMPLE_BYTES`` a language and ``ALL_BYTES`` in all, chosen by a hash of
+the id among rows with a language and crc32(id) mod 5 other than 0; a single
+text longer than a language's share isn't chosen. Every language is learned
+and none of its grams is dropped. Rows with remainder 4 calibrate; the rest
+are counted.
 
 A null text and one without a letter is ``und`` with score 0 and rejected. If
 no row may be learned from, every text is. Ties go to the language that sorts
@@ -26,19 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, small_batches
 
 ORDER = 5
-#: Labelled documents of each language that the sample aims at.
-SAMPLE_DOCS = 500
-#: Languages with most rows that are learned, at most.
-MAX_LANGUAGES = 200
-#: Grams of the highest order kept, all languages together; beyond it the rarest go.
-MAX_GRAMS = 3_000_000
+#: UTF-8 bytes of labelled texts that the sample aims at, of each language and in all.
+SAMPLE_BYTES, ALL_BYTES = 1_500_000, 60_000_000
+#: Entries of the matrices (grams, languages) that a batch is scored by at a time.
+CHUNK = 1 << 22
+#: Code points from which on a letter is two symbols.
+WIDE = 2560
 #: Cross-entropy a character from which a text counts as no language at all is the
 #: calibration rows' mean plus this many deviations, wider for short texts.
 REJECT_DEVIATIONS = 8.0
@@ -71,10 +74,14 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = letter | pad | begins
     sizes = [len(lead + t.lower()) + 1 for t in texts]
     owner = np.repeat(np.arange(len(texts)), sizes)
-    wide = raw.astype(np.uint64)
-    ids = np.where(raw < 2560, wide, 2560 + (wide * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(1536))
-    ids = np.where(letter, ids, np.where(pad, np.uint64(_PAD), np.uint64(32)))
-    return ids[keep], ~pad[keep], owner[keep]
+    raw, letter, pad, owner = raw[keep], letter[keep], pad[keep], owner[keep]
+    wide = letter & (raw >= WIDE)
+    ids = np.where(letter, np.where(wide, WIDE + np.minimum(raw >> np.uint32(8), 1023), raw), np.where(pad, np.uint32(_PAD), np.uint32(32))).astype(np.uint64)
+    if wide.any():
+        at = np.repeat(np.arange(len(ids)), 1 + wide)
+        second = np.r_[False, at[1:] == at[:-1]]
+        ids, pad, owner = np.where(second, WIDE + 1024 + (raw[at] & np.uint32(255)), ids[at]).astype(np.uint64), pad[at], owner[at]
+    return ids, ~pad, owner
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
@@ -99,14 +106,45 @@ def _low(g: np.ndarray, order: int) -> np.ndarray:
     return g & np.uint64((1 << (order * _BITS)) - 1)
 
 
+@dataclass
+class Table:
+    """Values by gram hash and language: sorted hashes, and for each the languages that have it."""
+
+    keys: np.ndarray
+    begins: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """From each language's hashes (each once) and values."""
+        h = np.concatenate([p[0] for p in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.uint16 if len(parts) < 1 << 16 else np.uint32), [len(p[0]) for p in parts])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return cls(h[first], np.r_[first, len(h)], lang[order], np.concatenate([p[1] for p in parts])[order].astype(np.float32))
+
+    def at(self, h: np.ndarray, n: int, missing: float) -> np.ndarray:
+        """The values (hash, language), ``missing`` where there is none."""
+        out = np.full((len(h), n), missing, np.float32)
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[i] == h)
+        lo = self.begins[i[hit]]
+        many = self.begins[i[hit] + 1] - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        out[np.repeat(hit, many), self.langs[at]] = self.values[at]
+        return out
+
+
 @dataclass
 class Models:
     """Models of all languages over common sorted hash arrays."""
 
     langs: list[str]
     uniform: float
-    grams: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted hashes, discounted probability (gram, language)
-    contexts: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted hashes, interpolation weight
+    grams: list[Table]  # by order: discounted probabilities
+    contexts: list[Table]  # by order: interpolation weights
     sharpness: float = 1.0
     limits: np.ndarray | None = None  # by language: mean and allowed deviation of the cross-entropy
 
@@ -115,7 +153,7 @@ class Models:
         """From each language's grams of the highest order and their counts."""
         langs = sorted(counts)
         per: list[list] = [[] for _ in range(ORDER)]
-        symbols = set()
+        symbols: set[int] = set()
         for lang in langs:
             g, c = counts[lang]
             symbols.update(np.unique(_low(g, 1)).tolist())
@@ -127,27 +165,17 @@ class Models:
                 per[k - 1].append((_mix(g, k), np.maximum(c - d, 0) / total[at], _mix(ctx, k + 100), d * kinds / total))
                 g, c = np.unique(_low(g, k - 1), return_counts=True)  # distinct symbols before
                 c = c.astype(float)
-        grams, contexts = [], []
-        for k in range(ORDER):
-            for out, h, v, missing in ((grams, 0, 1, 0.0), (contexts, 2, 3, 1.0)):
-                keys = np.unique(np.concatenate([p[h] for p in per[k]]))
-                m = np.full((len(keys), len(langs)), missing, np.float32)
-                for j, p in enumerate(per[k]):
-                    m[np.searchsorted(keys, p[h]), j] = p[v]
-                out.append((keys, m))
+        grams = [Table.of([p[:2] for p in per[k]]) for k in range(ORDER)]
+        contexts = [Table.of([p[2:] for p in per[k]]) for k in range(ORDER)]
         return cls(langs, 1 / (len(symbols) + 1), grams, contexts)
 
-    def _at(self, table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = table
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where((keys[i] == h)[:, None], values[i], np.float32(missing))
-
     def log_probabilities(self, g: np.ndarray) -> np.ndarray:
         """Interpolated log probability of each gram's last symbol, by language."""
-        p = np.full((len(g), len(self.langs)), self.uniform, np.float32)
+        n = len(self.langs)
+        p = np.full((len(g), n), self.uniform, np.float32)
         for k in range(1, ORDER + 1):
             own = _low(g, k)
-            p = self._at(self.grams[k - 1], _mix(own, k), 0.0) + self._at(self.contexts[k - 1], _mix(own >> np.uint64(_BITS), k + 100), 1.0) * p
+            p = self.grams[k - 1].at(_mix(own, k), n, 0.0) + self.contexts[k - 1].at(_mix(own >> np.uint64(_BITS), k + 100), n, 1.0) * p
         return np.log(p)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,20 +184,25 @@ class Models:
         g, who = _grams(ids)[scored], owner[scored]
         ids = ids[scored]
         kinds, at = np.unique(g, return_inverse=True)
-        logs = self.log_probabilities(kinds)
         n = np.bincount(who, minlength=len(texts))
         letters = np.bincount(who[ids != 32], minlength=len(texts))
-        ce = np.stack([-np.bincount(who, logs[at, j], len(texts)) for j in range(len(self.langs))], 1)
+        order = np.argsort(at, kind="stable")  # symbols by gram, so that grams can be taken in runs
+        ce, ends = np.zeros((len(texts), len(self.langs))), np.cumsum(np.bincount(at, minlength=len(kinds)))
+        step = max(1, CHUNK // max(1, len(self.langs)))
+        for lo in range(0, len(kinds), step):
+            logs = self.log_probabilities(kinds[lo : lo + step])
+            own = order[ends[lo - 1] if lo else 0 : ends[min(lo + step, len(kinds)) - 1]]
+            for j in range(len(self.langs)):
+                ce[:, j] -= np.bincount(who[own], logs[at[own] - lo, j], len(texts))
         return ce / np.maximum(n, 1)[:, None], n, letters
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Fit the score's sharpness and the rejection limits on rows not counted."""
+    def calibrate(self, ce: np.ndarray, n: np.ndarray, letters: np.ndarray, langs: list[str]) -> None:
+        """Fit the score's sharpness and the rejection limits on rows not counted: their entropies and languages."""
         # a language without rows: worse than a uniform guess among its symbols is no language
-        chance = np.log1p((self.grams[0][1] > 0).sum(0))
+        chance = np.log1p(np.bincount(self.grams[0].langs, minlength=len(self.langs)))
         self.limits = np.stack([chance, np.full(len(chance), REJECT_DEVIATIONS * 0.5)], 1)
-        if not texts:
+        if not len(ce):
             return
-        ce, n, letters = self.entropies(texts)
         truth = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs])
         use = (letters > 0) & (truth >= 0)
         ce, n, truth = ce[use], n[use], truth[use]
@@ -213,16 +246,18 @@ def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL_BYTES) -> Models:
     """Models of the languages in ``docs`` (doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    ship(spark)
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).where("lang is not null and text is not null").where(_fold(F.col("doc_id")) != 0)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("lang").collect()
     if not sizes:
         return Models([], 1.0, [], [])
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 30, math.ceil(sample_docs / r["count"] * (1 << 30)))))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    own = max(1, min(sample_bytes, all_bytes // len(sizes)))
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 30, math.ceil(own / max(1, r["bytes"]) * (1 << 30)))))])
+    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).where(F.octet_length("text") <= own)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,15 +270,26 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "gram", "n"])
 
     counted = sample.where(_fold(F.col("doc_id")) != 4).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    while len(table) > MAX_GRAMS:
-        least = int(np.min(table["n"].to_numpy()))
-        table = table.filter(pc.greater(table["n"], least))
-    lang, gram, n = table["lang"].to_numpy(zero_copy_only=False), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
-    models = Models.fit({x: (gram[lang == x][o], n[lang == x][o]) for x in sorted(set(lang.tolist())) for o in [np.argsort(gram[lang == x])]}) if len(table) else Models([], 1.0, [], [])
-    held = sample.where(_fold(F.col("doc_id")) == 4).select("text", "lang").collect()  # bounded by the sample
-    if models.langs:
-        models.calibrate([r["text"] for r in held], [r["lang"] for r in held])
+    table = counted.toArrow()  # at most a row for each symbol of the sample
+    if not len(table):
+        return Models([], 1.0, [], [])
+    table = table.sort_by([("lang", "ascending"), ("gram", "ascending")])
+    gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    codes, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+    cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+    models = Models.fit({names[codes[lo]]: (gram[lo:hi][o], n[lo:hi][o]) for lo, hi in zip(cuts, cuts[1:], strict=False) for o in [np.argsort(gram[lo:hi])]})
+    sent = spark.sparkContext.broadcast(models)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ce, n, letters = sent.value.entropies(b[0].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(list(ce), pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(letters, pa.int64()), b[1]], names=["ce", "n", "letters", "lang"])
+
+    held = sample.where(_fold(F.col("doc_id")) == 4).select("text", "lang").mapInArrow(score, "ce array<double>, n long, letters long, lang string").toArrow()
+    ce = np.array(held["ce"].to_pylist(), float).reshape(len(held), len(models.langs))
+    models.calibrate(ce, held["n"].to_numpy(), held["letters"].to_numpy(), held["lang"].to_pylist())
     return models
 
 

@@ -107,3 +107,80 @@ def test_stages_on_awkward_rows(spark, sf):
     good = quality.keep_good(docs)
     assert good.columns == docs.columns
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in docs.collect() if rules_of(r.text)[-1])
+
+
+def kneser_ney(texts, context, symbol, alphabet):
+    """Interpolated probability by dictionaries, from the definition."""
+    order = langid.ORDER
+    streams = []
+    for t in texts:
+        ids, scored, _ = langid._symbols([t])
+        streams.append((ids.tolist(), scored.tolist()))
+    counts = Counter()
+    for ids, scored in streams:
+        for i in range(len(ids)):
+            if scored[i]:
+                counts[tuple([0] * max(0, order - 1 - i) + ids[max(0, i - order + 1) : i + 1])] += 1
+    by_order = {order: counts}
+    for k in range(order - 1, 0, -1):
+        by_order[k] = Counter(g[1:] for g in by_order[k + 1])
+    p = 1 / (alphabet + 1)
+    for k in range(1, order + 1):
+        c = by_order[k]
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        ctx = tuple(context[len(context) - k + 1 :]) if k > 1 else ()
+        own = {g: v for g, v in c.items() if g[:-1] == ctx}
+        if own:
+            total = sum(own.values())
+            p = max(own.get((*ctx, symbol), 0) - d, 0) / total + d * len(own) / total * p
+    return p
+
+
+def test_models_against_the_definition():
+    import numpy as np
+
+    corpora = {"a": ["the cat sat on the mat", "the dog", "a cat that sat"], "b": ["der hund sah die katze", "das ist der hund"], "c": ["\u6f22\u5b57\u6f22", "\u0ba4\u0bae\u0bbf\u0bb4\u0bcd \u6f22"]}
+    counts = {}
+    for lang, texts in corpora.items():
+        ids, scored, _ = langid._symbols(texts)
+        g, c = np.unique(langid._grams(ids)[scored], return_counts=True)
+        counts[lang] = (g, c.astype(float))
+    models = langid.Models.fit(counts)
+    alphabet = round(1 / models.uniform) - 1
+    for text in ("the cat", "hund that", "\u6f22\u5b57 katze", "zzz"):
+        ids, scored, _ = langid._symbols([text])
+        got = np.exp(models.log_probabilities(langid._grams(ids)[scored]))
+        places = [i for i, x in enumerate(scored.tolist()) if x]
+        for j, lang in enumerate(models.langs):
+            for row, i in zip(got[:, j], places, strict=True):
+                context = ([0] * langid.ORDER + ids[:i].tolist())[-(langid.ORDER - 1) :]
+                assert abs(row - kneser_ney(corpora[lang], context, int(ids[i]), alphabet)) < 1e-5
+    # over all symbols and one unseen, the probabilities after any context add up to one
+    symbols = np.unique(np.concatenate([langid._low(g, 1) for g, _ in counts.values()]))
+    assert len(symbols) == alphabet
+    g = langid._grams(langid._symbols(["the cat"])[0])[-3:-2]
+    total = np.exp(models.log_probabilities((g >> np.uint64(12) << np.uint64(12)) | np.r_[symbols, np.uint64(4000)])).sum(0)
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_wide_letters_are_told_apart():
+    a, b = (langid._symbols([chr(c)])[0].tolist() for c in (0x4E00, 0x4E00 + 1536))
+    assert a != b and len(a) == langid.ORDER - 1 + 3
+
+
+def test_three_hundred_languages(spark):
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        letters = [chr(0x4E00 + 60 * k + i) for i in range(40)]
+        for i in range(12):
+            rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12)), f"l{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).collect()
+    truth = {d: lang for d, _, lang in rows}
+    assert len({x.lang_pred for x in got}) == 300
+    held = [x for x in got if x.held_out]
+    assert sum(x.lang_pred == truth[x.doc_id] for x in held) / len(held) > 0.97
