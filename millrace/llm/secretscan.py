@@ -3,15 +3,18 @@
 Three base kinds (assign, access, hex) follow fixed rules; their spans always
 stay. Kind ``random`` adds tokens that a battery of randomness tests finds too
 even to be words or identifiers. For each token of 20 or more characters the
-alphabet is inferred (hex, base32 or base64), and three statistics are compared
-with what *structured* text of that length would show: chi-squared uniformity
-over the alphabet, runs of character classes, and serial correlation of
-neighbouring codes. Their combined p-value (structured text that looks this
-random) goes into a false-discovery procedure with a stratum for each length
-class, over the tokens of all documents: p-values fall into fixed bins, bins
-are counted for the whole corpus, and each stratum's threshold is the largest
-bin whose expected share of false discoveries is at most ``FDR``. Tokens that
-touch a base span are left out.
+encoding is inferred (hex, base32, one case with digits, or base64), and three
+statistics are compared with what *structured* text in it shows: chi-squared
+uniformity over the alphabet, runs of character classes, and serial
+correlation of neighbouring codes. How structured text behaves was fitted for
+each encoding (``NULL``) on identifiers made of words and numbers. The three are
+combined with weights into one normal score, whose p-value is the chance that
+such an identifier looks as random as the token.
+It goes into a false-discovery procedure with a stratum for
+each length class, over the tokens of all documents: p-values fall into fixed
+bins, bins are counted for the whole corpus, and each stratum's threshold is
+the largest bin whose expected share of false discoveries is at most ``FDR``.
+Tokens of any length are tested. Tokens that touch a base span are left out.
 
 Offsets are code points with ends exclusive. Null texts count as empty: no
 spans, and the digest of the empty string. Repeated rows count as often as
@@ -20,6 +23,8 @@ they occur; equal p-values are decided alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +36,16 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 #: Expected share of false discoveries that each length class allows.
 FDR = 0.01
+#: Of structured text, by alphabet size: mean of the coincidence excess and its deviation times sqrt(n), mean
+#: rate of class changes and its deviation times sqrt(n - 1), mean square of the serial z at length 0 and its growth a letter.
+NULL = {16: (0.9, 2.5, 0.20, 0.40, 1.2, 0.01), 32: (0.75, 2.9, 0.15, 0.39, 0.1, 0.105), 36: (0.90, 3.1, 0.15, 0.38, 0.1, 0.105), 64: (1.93, 4.8, 0.44, 0.44, 0.4, 0.055)}
+#: Weights of uniformity, runs and serial correlation in the combined score.
+WEIGHTS = (1.0, 1.2, 0.5)
 #: Bins of -log10(p), each 1/BINS_PER wide.
 BINS_PER, BINS = 20, 800
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
+#: Matches whose spans are built in one go.
+CHUNK = 512
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -54,8 +66,9 @@ def _matches(text: Column, pattern: str, kind: int, keep: Column | None = None)
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def spans(h: Column, g: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), _none().alias("out"))
+    def some(h: Column, g: Column, at: Column, first: Column) -> Column:
+        """(place after them, spans) of matches from number ``first`` on, whose first gap begins at ``at``."""
+        zero = F.struct(at.alias("at"), first.alias("i"), _none().alias("out"))
 
         def step(acc: Column, m: Column) -> Column:
             start = acc["at"] + F.length(F.get(g, acc["i"]))
@@ -63,7 +76,17 @@ def _matches(text: Column, pattern: str, kind: int, keep: Column | None = None)
             one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
             return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], one).alias("out"))
 
-        found = F.aggregate(h, zero, step)["out"]
+        return F.aggregate(h, zero, step)
+
+    def spans(h: Column, g: Column) -> Column:
+        # in chunks: an array that grows by one element at a time is copied each time
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+        def chunk(acc: Column, k: Column) -> Column:
+            return _let(some(F.slice(h, k + 1, F.lit(CHUNK)), g, acc["at"], k), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        many = F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(h) - 1, F.lit(CHUNK)), zero, chunk)["out"])
+        found = F.when(F.size(h) <= CHUNK, some(h, g, F.lit(0), F.lit(0))["out"]).otherwise(many)
         return found if keep is None else F.transform(F.filter(F.arrays_zip(found.alias("s"), keep.alias("k")), lambda z: z["k"]), lambda z: z["s"])
 
     both = _let(F.struct(hits.alias("h"), gaps.alias("g")), lambda x: spans(x["h"], x["g"]))
@@ -76,13 +99,20 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_matches(text, ASSIGN, 0, long_enough), _matches(text, ACCESS, 1), _matches(text, HEX, 2)))
 
 
-def _p_upper(z: Column) -> Column:
-    """P(Z > z) of a standard normal variable, by a logistic-polynomial form (error under 2e-4)."""
-    return 1 / (1 + F.exp(F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0)) * (1.5976 + 0.07056 * F.pow(F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0)), 2))))
+def _evidence(z: Column) -> Column:
+    """-log10 P(Z > z) of a standard normal variable.
+
+    Below 3 by a logistic-polynomial form, from there by the tail's asymptotic
+    one, which doesn't run out of digits; relative errors of p under a tenth.
+    """
+    x = F.greatest(z, F.lit(-8.0))
+    near = F.log10(1 + F.exp(x * (1.5976 + 0.07056 * x * x)))
+    far = x * x / 2 * math.log10(math.e) + F.log10(x + 1 / x) + math.log10(math.sqrt(2 * math.pi))
+    return F.when(x < 3, near).otherwise(far)
 
 
 def _statistics(token: Column) -> Column:
-    """-log10 of the combined p-value that structured text looks as random as ``token``."""
+    """-log10 of the p-value: the chance that structured text looks as random as ``token``."""
 
     def of(t: Column) -> Column:
         size = F.when(F.regexp_like(t, F.lit("^([0-9a-f]+|[0-9A-F]+)=*$")), F.lit(16.0)).when(F.regexp_like(t, F.lit("^[A-Z2-7]+=*$")), F.lit(32.0)).when(F.regexp_like(t, F.lit("^([0-9A-Z]+|[0-9a-z]+)=*$")), F.lit(36.0)).otherwise(F.lit(64.0))
@@ -100,26 +130,21 @@ def _statistics(token: Column) -> Column:
             n_ = F.size(c).cast("double")
             # sum of squared letter counts = number of ordered equal pairs
             squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda s, v: s + F.pow(F.size(F.filter(c, lambda y: y == v)).cast("double"), F.lit(2.0)))
-            chi = a * squares / n_ - n_
-            # structured text repeats letters: its index of coincidence exceeds 1/a by the factor `excess`
-            # (lower where both cases share the letters, as in CamelCase)
-            excess = F.when(a <= 16, F.lit(0.9)).when(a <= 36, F.lit(0.065) * a).otherwise(F.lit(0.042) * a)
-            mean, var = (a - 1) + n_ * excess, 2 * (a - 1) + 4 * n_ * excess + n_ * excess
-            p_even = _p_upper((mean - chi) / F.sqrt(var))
+            # chi-squared as the excess of coincidences over 1/a, which doesn't grow with the length
+            excess = a * (squares - n_) / (n_ * (n_ - 1)) - 1
             changes = F.size(F.filter(klass, lambda k, i: (i > 0) & (k != F.get(klass, i - 1)))).cast("double")
-            # structured text keeps its class; mixed case and paths change it at every word
-            rate = F.when(a <= 16, F.lit(0.2)).when(a <= 36, F.lit(0.08)).otherwise(F.lit(0.35))
-            p_runs = _p_upper((changes - rate * (n_ - 1) - 0.5) / F.sqrt(rate * (1 - rate) * (n_ - 1) + 1))
             v = F.aggregate(c, F.lit(0.0), lambda s, y: s + (y - m) * (y - m))
             lag = F.aggregate(F.transform(c, lambda y, i: F.when(i > 0, (y - m) * (F.get(c, i - 1) - m)).otherwise(0.0)), F.lit(0.0), lambda s, y: s + y)
             z = F.abs(F.when(v > 0, lag / v).otherwise(1.0)) * F.sqrt(n_)
-            # a strong correlation speaks against randomness, a weak one is no evidence by itself
-            p_serial = F.when(z > 2.6, F.lit(1.0)).otherwise(F.lit(0.5))
-            fisher = -(F.log10(F.greatest(p_even, F.lit(1e-30))) + F.log10(F.greatest(p_runs, F.lit(1e-30))) + F.log10(p_serial))
-            # Fisher's sum for three tests: chi-squared with 6 degrees, its upper tail in closed form
-            x2 = fisher * 2.302585092994046
-            tail = F.exp(-x2) * (1 + x2 + x2 * x2 / 2)
-            return F.when(z > 4, F.lit(0.0)).otherwise(-F.log10(F.greatest(tail, F.lit(1e-39))))
+            null = [F.lit(x) for x in NULL[64]]
+            for size in (36, 32, 16):
+                null = [F.when(a == size, F.lit(x)).otherwise(y) for x, y in zip(NULL[size], null, strict=True)]
+            even = (null[0] - excess) * F.sqrt(n_) / null[1]
+            runs = (changes - null[2] * (n_ - 1) - 0.5) / (null[3] * F.sqrt(n_ - 1))
+            serial = (1 - z * z / (null[4] + null[5] * n_)) / math.sqrt(2)  # structured text: mean 0, variance 1
+            score = (WEIGHTS[0] * even + WEIGHTS[1] * runs + WEIGHTS[2] * serial) / math.sqrt(sum(w * w for w in WEIGHTS))
+            # a correlation that one random token in ten thousand shows speaks for structure
+            return F.when(z > 4, F.lit(0.0)).otherwise(_evidence(score))
 
         return _let(F.struct(codes.alias("c"), size.alias("a")), bound)
 
@@ -187,40 +212,56 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and two columns, ``_base`` and ``_spans``."""
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the base spans and all spans."""
     limits = thresholds(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
+    mine, all_ = "_base", "_spans"
+    while {mine, all_} & set(docs.columns):
+        mine, all_ = "_" + mine, "_" + all_
     base, strong = all_spans(text, limits)
-    out = docs.withColumn("_base", base)
+    out = docs.withColumn(mine, base)
     if not limits:
-        return out.withColumn("_spans", F.col("_base"))
-    own = F.filter(strong, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("_spans", F.array_sort(F.concat(F.col("_base"), own)))
+        return out.withColumn(all_, F.col(mine)), mine, all_
+    own = F.filter(strong, lambda s: ~F.exists(F.col(mine), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.withColumn(all_, F.array_sort(F.concat(F.col(mine), own))), mine, all_
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return with_spans(docs.select("doc_id", "text")).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    found, mine, all_ = with_spans(docs.select("doc_id", "text"))
+    count = lambda k: F.size(F.filter(mine, lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col(mine)), 256).alias("base_sha256"), _joined(F.col(all_)).alias("spans"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
     """The text with each merged span replaced by ``[SECRET]``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    gaps = "array<struct<a:int,b:int>>"
 
     def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("a"), s["start"].alias("b"))).cast(gaps)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+    def pieces(x: Column) -> Column:
+        # what lies between merged spans, in chunks as above
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{gaps}>").alias("out"))
+
+        def chunk(acc: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(x, k + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.array().cast(gaps).alias("out")), step)
+            return _let(own, lambda y: F.struct(y["at"].alias("at"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+
+        kept = lambda y: F.array_join(F.transform(F.flatten(y["out"]), lambda g: F.concat(F.substring(text, g["a"] + 1, g["b"] - g["a"]), F.lit("[SECRET]"))), "")
+        return _let(F.aggregate(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), zero, chunk), lambda y: F.concat(kept(y), F.substring(text, y["at"] + 1, F.length(text))))
 
-    return _let(F.aggregate(spans, zero, step), lambda r: F.concat(r["out"], F.substring(text, r["at"] + 1, F.length(text))))
+    return _let(spans, pieces)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and ``n_chars``, if there, counted anew."""
-    found = with_spans(docs)
-    text = F.when(F.size("_spans") > 0, _replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    found, _, all_ = with_spans(docs)
+    text = F.when(F.size(all_) > 0, _replaced(F.col("text"), F.col(all_))).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(all_) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -148,3 +148,57 @@ def test_compressed_and_plain_disguised_addresses_are_found():
         assert pii.found([text], trained)[0][1] == [("email_disguised", 14, 14 + len(f))], text
     for text in ("we will meet at noon. She was late", "use ab::add here", "part 00:1b:44:11:3a:b7 of", "he stood at home. It rained"):
         assert pii.found([text], trained)[0][1] == [], text
+
+
+def identifiers(seed, n):
+    """Structured tokens in eight styles, of words and numbers."""
+    import random
+
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years where much your way down should because long each just state people those too little good world make very year still see own work men day get here old life both between being under three never know same last another while us might great go come since against right came take used few house use place during high without again home around small however found service configuration management database entry component example index user account request response handler factory controller abstract string buffer reader writer thread pool executor".split()
+    r, out = random.Random(seed), []
+    for i in range(n):
+        ws, digits = [r.choice(words) for _ in range(50)], lambda k, p: str(r.randint(0, k)) if r.random() < p else ""  # noqa: B023
+        made = ("_".join(ws), "-".join(ws), "".join(w.capitalize() for w in ws), "/".join(ws), "".join(w.capitalize() + digits(99, 0.3) for w in ws), "_".join(ws).upper(), "-".join(digits(9999, 0.5) or w for w in ws), "".join(w + digits(99, 0.4) for w in ws))
+        out.append(made[i % 8][: r.choice((20, 24, 28, 32, 40, 48, 64, 100, 128))])
+    return out
+
+
+def test_p_values_of_structured_text_are_calibrated(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(t,) for t in identifiers(77, 16_000)], "t string").repartition(8)
+    e = F.when(secretscan._has_mixture(F.col("t")), secretscan._statistics(F.col("t"))).otherwise(0.0)
+    got = rows.select(e.alias("e")).agg(*(F.avg((F.col("e") >= k).cast("int")).alias(str(k)) for k in (1, 2, 3))).first()
+    assert got["1"] <= 0.1 and got["2"] <= 0.01 and got["3"] <= 0.001
+
+
+def test_normal_tail(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    for z, e in spark.range(-80, 300).select((F.col("id") / 10).alias("z")).select("z", secretscan._evidence(F.col("z"))).collect():
+        p = math.erfc(z / math.sqrt(2)) / 2
+        if p > 1e-300:
+            assert abs(e + math.log10(p)) < 0.045, z
+
+
+def test_random_spans_of_a_mixed_corpus(spark):
+    """Few identifiers among what is reported, most keys found, ten thousand matches in one text, columns of the names used inside."""
+    import base64
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    keys = [base64.b64encode(r.randbytes(48)).decode() for _ in range(300)]
+    tokens = [(t, False) for t in identifiers(5, 2000)] + [(k, True) for k in keys]
+    docs = spark.createDataFrame([(i, f"it is {t} here") for i, (t, _) in enumerate(tokens)], "doc_id long, text string")
+    found = {x.doc_id for x in secretscan.span_digests(docs).collect() if "random:6:" in x.spans}
+    right = sum(tokens[i][1] for i in found)
+    assert right >= 0.85 * len(keys) and len(found) - right <= 0.05 * len(found)
+    big = " ".join(f"token=abcdef{i}" for i in range(10_000))
+    one = spark.createDataFrame([(1, big, 3, [5])], "doc_id long, text string, _base int, _spans array<int>")
+    out = secretscan.redact(one).first()
+    assert out.text == " ".join(["[SECRET]"] * 10_000) and (out._base, out._spans) == (3, [5])
+    assert secretscan.span_digests(one).select(F.size(F.split("spans", ","))).first()[0] == 10_000
