@@ -202,3 +202,88 @@ def test_random_spans_of_a_mixed_corpus(spark):
     out = secretscan.redact(one).first()
     assert out.text == " ".join(["[SECRET]"] * 10_000) and (out._base, out._spans) == (3, [5])
     assert secretscan.span_digests(one).select(F.size(F.split("spans", ","))).first()[0] == 10_000
+
+
+#: Sentences written apart from the training examples; what is personal stands in «kind|text».
+WRITTEN = """
+You can reach our office manager at «phone_local|(415) 555-2671» on weekdays.
+Her cell is «phone_local|212-555-0147», leave a message if she does not pick up.
+Fax the form back, tel «phone_local|303.555.0188», before Friday.
+For a callback dial «phone_local|617 555 0134» after six.
+Please have your mobile «phone_local|503-555-0199» ready.
+The applicant's SSN is «ssn|219-09-9999» according to the file.
+Social security number: «ssn|457-55-5462»
+She gave her social as «ssn|321-54-9876», which matched.
+Taxpayer id «ssn|512-33-7788» was entered twice.
+Transfer the deposit to IBAN «iban|GB29NWBK60161331926819» by noon.
+Konto «iban|DE44500105175407324931», Sparkasse.
+Our bank account is «iban|FR1420041010050500013M02606».
+wire it to «iban|NL91ABNA0417164300» today
+Drop me a mail: «email_disguised|carla.meyer [at] uni-bonn [dot] de» works best.
+Contact «email_disguised|help(at)riverstone(dot)org» for refunds.
+write to «email_disguised|t_okafor at lagosmail dot com» about the flat
+My address is «email_disguised|nadia {at} kestrel {dot} net», thanks.
+Login from client «ipv6|2a02:8109:9ac0:1f4c::7b2» was refused.
+remote host «ipv6|fe80::1ff:fe23:4567:890a» timed out
+The server's ip is «ipv6|2001:0db8:0000:0042:0000:8a2e:0370:7334» now.
+He was born «birth_date|04/11/1967» in Leeds.
+Date of birth: «birth_date|1984-02-29»
+dob «birth_date|17.08.1991», female
+Her birthday «birth_date|3/9/1979» is next week, they say.
+Dear «person|Maria Lindqvist», thank you for the parcel.
+The patient, «person|Dr. Helen Okonkwo», left at noon.
+It was signed by «person|Thomas Ferrante» and two others.
+My name is «person|Priya Raman», and I am calling about the flat.
+We met with «person|Mr. Daniel Whitlock» to talk it over.
+I live at «street|1847 Chestnut Street» with two cats.
+Ship the order to «street|92 Harbour View Road, Apt 12» please.
+Her home address is «street|7 Orchard Lane», Leeds.
+They moved to «street|Gartenstraße 14» last spring.
+Delivered to «street|310 Maple Ave» on Tuesday.
+The part 415-555-2671-88 is out of stock.
+Invoice no. 000-12-3456 was voided.
+Order ref 987-65-4321 has shipped.
+Version 1.2.3 of 03.04.2021 was released in spring.
+Published 12/05/2019, updated 2020-06-07.
+The meeting at 12:30:45 was short, as was the one at 9:15:20.
+He stood at the door. Then it opened.
+She looked at home. It was late.
+Use std::vector and ab::cd in the code.
+MAC 00:1A:2B:3C:4D:5E joined the network.
+The United Nations met in New York in March.
+Old Trafford is a ground; the Royal Court is not.
+On Monday Morning the Annual Report came out.
+The Great Northern Railway built Central Station.
+There are 10 Best Places here and 3 New Ways there.
+Chapter 12 New Court, page 4.
+ISBN 978-3-16-148410-0 is a book.
+Part 123-45-6789-0 fits.
+The ratio was 16:9:4 in that test.
+It ran from 1999 to 2004 and cost 555 1234 units.
+Blue Ocean and Silent Valley are titles.
+"""
+
+
+def test_recall_and_precision_on_written_sentences():
+    import re
+    from collections import Counter
+
+    trained = pii.model()
+    want, hit, extra = Counter(), Counter(), []
+    for line in WRITTEN.strip().split("\n"):
+        spans, text = [], ""
+        for piece in re.split(r"(«[^»]*»)", line):
+            if piece.startswith("«"):
+                kind, s = piece[1:-1].split("|")
+                spans.append((kind, len(text), len(text) + len(s)))
+                text += s
+            else:
+                text += piece
+        base, added = pii.found([text], trained)[0]
+        for kind, a, b in spans:
+            want[kind] += 1
+            hit[kind] += any(k == kind and x < b and a < y for k, x, y in added)
+        extra += [(k, text[x:y]) for k, x, y in added if not any(x < b and a < y for _, a, b in spans)]
+    assert set(want) == set(pii.MORE)
+    assert not extra, extra
+    assert all(hit[k] >= 0.75 * want[k] for k in want) and sum(hit.values()) >= 0.9 * sum(want.values()), (want, hit)
