@@ -40,6 +40,8 @@ ORDER = 5
 SAMPLE_BYTES, ALL_BYTES = 1_500_000, 60_000_000
 #: Entries of the matrices (grams, languages) that a batch is scored by at a time.
 CHUNK = 1 << 22
+#: Entries (grams, languages) of a table up to which a worker spreads it out as a matrix (8 MB).
+DENSE = 1 << 21
 #: Code points from which on a letter is two symbols.
 WIDE = 2560
 #: Cross-entropy a character from which a text counts as no language at all is the
@@ -114,6 +116,7 @@ class Table:
     begins: np.ndarray
     langs: np.ndarray
     values: np.ndarray
+    matrix: np.ndarray | None = None
 
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
@@ -127,8 +130,13 @@ class Table:
 
     def at(self, h: np.ndarray, n: int, missing: float) -> np.ndarray:
         """The values (hash, language), ``missing`` where there is none."""
-        out = np.full((len(h), n), missing, np.float32)
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        if len(self.keys) * n <= DENSE:  # few languages: the same values as a matrix, which is faster to read
+            if self.matrix is None:
+                self.matrix = np.full((len(self.keys), n), missing, np.float32)
+                self.matrix[np.repeat(np.arange(len(self.keys)), np.diff(self.begins)), self.langs] = self.values
+            return np.where((self.keys[i] == h)[:, None], self.matrix[i], np.float32(missing))
+        out = np.full((len(h), n), missing, np.float32)
         hit = np.flatnonzero(self.keys[i] == h)
         lo = self.begins[i[hit]]
         many = self.begins[i[hit] + 1] - lo
@@ -186,14 +194,16 @@ class Models:
         kinds, at = np.unique(g, return_inverse=True)
         n = np.bincount(who, minlength=len(texts))
         letters = np.bincount(who[ids != 32], minlength=len(texts))
-        order = np.argsort(at, kind="stable")  # symbols by gram, so that grams can be taken in runs
-        ce, ends = np.zeros((len(texts), len(self.langs))), np.cumsum(np.bincount(at, minlength=len(kinds)))
+        ce = np.zeros((len(texts), len(self.langs)))
         step = max(1, CHUNK // max(1, len(self.langs)))
-        for lo in range(0, len(kinds), step):
-            logs = self.log_probabilities(kinds[lo : lo + step])
-            own = order[ends[lo - 1] if lo else 0 : ends[min(lo + step, len(kinds)) - 1]]
+        runs = [(0, slice(None))]
+        if len(kinds) > step:  # symbols by gram, so that grams can be taken in runs
+            order, ends = np.argsort(at, kind="stable"), np.r_[0, np.cumsum(np.bincount(at, minlength=len(kinds)))]
+            runs = [(lo, order[ends[lo] : ends[min(lo + step, len(kinds))]]) for lo in range(0, len(kinds), step)]
+        for lo, own in runs:
+            logs, place, text = self.log_probabilities(kinds[lo : lo + step]), at[own] - lo, who[own]
             for j in range(len(self.langs)):
-                ce[:, j] -= np.bincount(who[own], logs[at[own] - lo, j], len(texts))
+                ce[:, j] -= np.bincount(text, logs[place, j], len(texts))
         return ce / np.maximum(n, 1)[:, None], n, letters
 
     def calibrate(self, ce: np.ndarray, n: np.ndarray, letters: np.ndarray, langs: list[str]) -> None:

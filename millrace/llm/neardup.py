@@ -210,15 +210,22 @@ def _blocks(members: DataFrame, weight: Column, most: int) -> DataFrame:
     few strangers in its bucket is dealt once, and the strangers to every block.
     """
     parts = members.groupBy("key", "part").agg(F.sum(weight).alias("w"))
-    sizes = parts.groupBy("key").agg(F.max(F.struct("w", "part")).alias("big"), F.sum("w").alias("all"))
-    sizes = sizes.select("key", F.col("big.part").alias("big"), F.ceil(F.col("big.w") / most).cast("int").alias("bigs"), F.ceil((F.col("all") - F.col("big.w")) / most).cast("int").alias("rests")).where("rests > 0")
-    at, is_big = F.xxhash64("node", "key"), F.col("part") == F.col("big")
+    sizes = parts.groupBy("key").agg(F.max(F.struct("w", "part")).alias("big"), F.sum("w").alias("all")).where(F.col("all") > F.col("big.w"))
+    small = F.col("all") <= most  # one block for all
+    sizes = sizes.select("key", F.when(~small, F.col("big.part")).alias("big"), F.ceil(F.col("big.w") / most).cast("int").alias("bigs"), F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("big.w")) / most)).cast("int").alias("rests"))
+    at, is_big = F.xxhash64("node", "key"), F.col("part").eqNullSafe(F.col("big"))
     d = members.join(sizes, "key").withColumn("own", F.when(is_big, -1 - F.pmod(at, "bigs")).otherwise(F.pmod(at, "rests")).cast("int"))
     rest = F.sequence(F.lit(0), F.col("rests") - 1)
-    d = d.withColumn("with", F.explode(F.when(is_big, rest).otherwise(F.concat(rest, F.sequence(-F.col("bigs"), F.lit(-1))))))
+    d = d.withColumn("with", F.explode(F.when(is_big, rest).otherwise(F.concat(rest, F.when(F.col("big").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(-F.col("bigs"), F.lit(-1)))))))
     return d.withColumn("i", F.greatest("own", "with")).withColumn("j", F.least("own", "with")).drop("with", "big", "bigs", "rests")
 
 
+def _grouped(dealt: DataFrame):
+    """By blocks; a number of parts is given, since few bytes here are much work and mustn't be merged into few tasks."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j")
+
+
 def _cross(t: pa.Table, similarity: int, most: int):
     """For each member of block i, the members of block j of another part that size and sketch allow."""
     part, n, own = (t[c].to_numpy() for c in ("part", "n", "own"))
@@ -248,7 +255,7 @@ def across(placed: DataFrame, size_and_odd: DataFrame, similarity: int) -> DataF
             hit[c] = True
         return t.select(["key", "node", "part", "n", "odd"]).filter(pa.array(hit))
 
-    named = dealt.groupBy("key", "i", "j").applyInArrow(possible, "key long, node long, part long, n long, odd array<long>")
+    named = _grouped(dealt).applyInArrow(possible, "key long, node long, part long, n long, odd array<long>")
     return named.dropDuplicates(["key", "node"])
 
 
@@ -286,7 +293,7 @@ def linked_across(possible: DataFrame, sets: DataFrame, similarity: int) -> Data
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long").distinct()
+    return _grouped(dealt).applyInArrow(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
