@@ -81,8 +81,17 @@ def n_dup_lines(text: Column) -> Column:
     return _let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(_text(text), F.lit(WORD), F.lit(0))
+
+
 def n_repeat_words(text: Column) -> Column:
     """Words inside a window of three words that the text holds twice or more."""
+    return _let(_words(text), _repeated)
+
+
+def _repeated(words: Column) -> Column:
+    """The same, of an array of words."""
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -100,8 +109,7 @@ def n_repeat_words(text: Column) -> Column:
         # most texts have no window twice; only the others are sorted
         return F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x))
 
-    words = F.regexp_extract_all(_text(text), F.lit(WORD), F.lit(0))
-    return _let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(windows(w), count))).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(windows(words), count)).cast("long")
 
 
 #: What the rules look at, by name, as functions of the text.
@@ -201,7 +209,8 @@ def measured(docs: DataFrame) -> DataFrame:
     order, text = order_rules(docs, RULES), F.col("text")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     # the rest of a rule's metrics are computed only where the cascade gets to it
-    m = docs.select("doc_id", "text", *(METRICS[k](text).alias(k) for k in base))
+    of_words = _let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
+    m = docs.select("doc_id", "text", of_words.alias("w"), *(METRICS[k](text).alias(k) for k in base if k not in ("n_words", "n_repeat_words"))).select("*", "w.n_words", "w.n_repeat_words")
     metric = lambda name: F.col(name) if name in base else METRICS[name](text)
     failed = BASE[0].reject(metric) | BASE[1].reject(metric)
     out = m.withColumn("base_failed", failed)
