@@ -45,32 +45,30 @@ def n_words(text: Column) -> Column:
 
 def word_chars(text: Column) -> Column:
     """Code points in words: those that aren't white space."""
-    return F.length(F.translate(_text(text), " \t\n\x0b\x0c\r", "")).cast("long")
+    return F.length(F.regexp_replace(_text(text), f"[{SPACE}]+", "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = _text(text)
-    return (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long")
+    return F.regexp_count(_text(text), F.lit("[#*$%&|<>]")).cast("long")
 
 
 def n_upper(text: Column) -> Column:
-    t = _text(text)
-    return F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return F.regexp_count(_text(text), F.lit("[A-Z]"))
 
 
 def n_lower(text: Column) -> Column:
+    """Runs are removed whole: letters are too many for a match each."""
     t = _text(text)
-    return F.length(t) - F.length(F.translate(t, "abcdefghijklmnopqrstuvwxyz", ""))
+    return F.length(t) - F.length(F.regexp_replace(t, "[a-z]+", ""))
 
 
 def n_marks(text: Column) -> Column:
-    t = _text(text)
-    return F.length(t) - F.length(F.translate(t, "!?", ""))
+    return F.regexp_count(_text(text), F.lit("[!?]"))
 
 
 def _lines(text: Column) -> Column:
     """Lines with a word: what is left between line breaks that isn't white space alone."""
-    return F.filter(F.split(_text(text), "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    return F.filter(F.split(_text(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
 
 
 def n_lines(text: Column) -> Column:
@@ -91,25 +89,32 @@ def n_repeat_words(text: Column) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """The same, of an array of words."""
+    """The same, of an array of words.
+
+    Windows are compared by a 64-bit hash first, which most texts hold once
+    each; those that share a hash are compared as words.
+    """
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    def hashes(w: Column) -> Column:
+        return F.slice(F.transform(w, lambda v, i: F.xxhash64(v, F.get(w, i + 1), F.get(w, i + 2))), 1, F.size(w) - 2)
 
-    def covered(x: Column) -> Column:
-        """Sorted with their places, equal windows are neighbours."""
-        placed = F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    def window(i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
-        def twice(s: Column) -> Column:
-            return F.filter(s, lambda e, k: (e["v"] == F.get(s, k - 1)["v"]) | (e["v"] == F.get(s, k + 1)["v"]))
+    def twice(s: Column) -> Column:
+        """Entries that a neighbour equals: in order, equal windows are neighbours."""
+        return F.filter(s, lambda e, k: (e["v"] == F.get(s, k - 1)["v"]) | (e["v"] == F.get(s, k + 1)["v"]))
 
-        return _let(placed, lambda s: F.size(F.array_distinct(F.flatten(F.transform(twice(s), lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2))))))
+    def covered(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        shared = _let(placed, twice)
+        exact = F.sort_array(F.transform(shared, lambda e: F.struct(window(e["i"]).alias("v"), e["i"].alias("i"))))
+        return _let(exact, lambda s: F.size(F.array_distinct(F.flatten(F.transform(twice(s), lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2))))))
 
-    def count(x: Column) -> Column:
-        # most texts have no window twice; only the others are sorted
-        return F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x))
+    def count(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(windows(words), count)).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes(words), count)).cast("long")
 
 
 #: What the rules look at, by name, as functions of the text.
