@@ -507,3 +507,30 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = log.watch([{"$project": {"k": {"$toInt": "$documentKey"}, "op": "$operationType", "name": "$fullDocument.name", "was": "$fullDocumentBeforeChange.name"}}])
     stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{where}/out").select("k", "op", "name", "was")
+
+
+# formats
+
+EVENTS = "SELECT event_id, date_trunc('milliseconds', ts) AS ts, user_id, event_type, value, CAST(value AS DECIMAL(20, 4)) AS exact, props FROM events"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database(spark, sf_dir).collection("events").select("event_id", F.date_trunc("millisecond", "ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", F.col("value").cast("decimal(20,4)").alias("exact"), "props")
+
+
+@query("extended_json_round_trip", EVENTS)
+def extended_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as canonical extended JSON, read back by its types."""
+    from ..sources.formats import from_extended_json, to_extended_json
+
+    df = _events(spark, sf_dir)
+    return to_extended_json(df).select(from_extended_json(F.col("value"), df.schema).alias("doc")).select("doc.*")
+
+
+@query("bson_round_trip", EVENTS)
+def bson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a BSON document, read back by its types."""
+    from ..sources.formats import from_bson, to_bson
+
+    df = _events(spark, sf_dir)
+    return from_bson(to_bson(df), df.schema)
