@@ -9,6 +9,8 @@ forms keep whole arrays only where the language returns them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,25 @@ def _several(v: Column, n, last: bool) -> Column:
     return F.slice(v, F.greatest(F.size(v) - n + 1, F.lit(1)), n) if last else F.slice(v, F.lit(1), n)
 
 
+def at_ranks(value: Column, ps: list[float]) -> Column:
+    """The values at ranks ceil(p * n) of one task's rows.
+
+    At this accuracy the sketch merges no values. Each p is taken one step lower, so that a
+    product just above a whole number isn't rounded up to the next rank.
+    """
+    return F.percentile_approx(value, [math.nextafter(p, 0.0) for p in ps], 2**31 - 1)
+
+
+def percents(name: str, arg: dict) -> list[float]:
+    """The percentiles that ``$percentile`` or ``$median`` asks for."""
+    if arg.get("method", "approximate") != "approximate":
+        raise ExpressionError("the method is approximate")
+    ps = arg["p"] if name == "$percentile" else [0.5]
+    if not all(0 <= p <= 1 for p in ps):
+        raise ExpressionError("p lies between 0 and 1")
+    return [float(p) for p in ps]
+
+
 def accumulate(k: Compiler, spec: dict, sort: dict | None = None) -> Column:
     """The aggregate Column of ``{"$name": argument}``."""
     if len(spec) != 1:
@@ -127,12 +148,7 @@ def accumulate(k: Compiler, spec: dict, sort: dict | None = None) -> Column:
         some = lambda f: F.size(F.filter(docs, lambda d: d[f].isNotNull())) > 0
         return F.struct(*(F.when(some(f.name), last(f.name)).alias(f.name) for f in kind.fields))
     if name in ("$percentile", "$median"):
-        if arg.get("method", "approximate") != "approximate":
-            raise ExpressionError("the method is approximate")
-        ps = arg["p"] if name == "$percentile" else [0.5]
-        if not all(0 <= p <= 1 for p in ps):
-            raise ExpressionError("p lies between 0 and 1")
-        got = F.percentile_approx(k.column(arg["input"]).cast("double") if numeric(arg["input"]) else F.lit(None).cast("double"), [float(p) for p in ps], 10_000)
+        got = at_ranks(k.column(arg["input"]).cast("double") if numeric(arg["input"]) else F.lit(None).cast("double"), percents(name, arg))
         return got if name == "$percentile" else got[0]
     if name == "$accumulator":
         body = arg.get("body")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .accumulators import accumulate
+from .accumulators import accumulate, at_ranks, percents
 from .expressions import Compiler, ExpressionError
 from .paths import DATES, column_at
 
@@ -101,8 +101,7 @@ def _over(k: Compiler, name: str, arg, sort: dict, w) -> Column:
             return F.get(v, F.lit(0) if name == "$top" else F.size(v) - 1)
         return F.slice(v, F.lit(1), F.lit(arg["n"])) if name == "$topN" else F.slice(v, F.greatest(F.size(v) - arg["n"] + 1, F.lit(1)), F.lit(arg["n"]))
     if name in ("$percentile", "$median"):
-        ps = arg["p"] if name == "$percentile" else [0.5]
-        got = F.percentile_approx(k.column(arg["input"]).cast("double"), [float(p) for p in ps], 10_000).over(w)
+        got = at_ranks(k.column(arg["input"]).cast("double"), percents(name, arg)).over(w)
         return got if name == "$percentile" else got[0]
     return accumulate(k, {name: arg}, sort).over(w)
 

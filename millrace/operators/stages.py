@@ -6,6 +6,7 @@ need to know of earlier ones, as the order of a preceding $sort.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import accumulate
+from ..functions.accumulators import accumulate, percents
 from ..functions.expressions import Compiler, ExpressionError, literal
 from ..functions.paths import DATES, NUMERIC, column_at, quoted, with_path, without_path
 from ..functions.windows import MILLIS, linear_fill, order_columns, window_column
 from ..shared import checkpointed
 from . import search
 from .predicates import compile_query, element_test
+from .ranks import percentiles
 
 STAGES: dict[str, Callable] = {}
 
@@ -249,16 +251,21 @@ _N_FORMS = ("$maxN", "$minN", "$firstN", "$lastN", "$topN", "$bottomN")
 
 
 def group(df: DataFrame, spec: dict, sort: dict | None = None, variables: dict | None = None) -> DataFrame:
-    """N forms are group limits: each task keeps n rows of a group, so no group is gathered."""
+    """N forms are group limits: each task keeps n rows of a group, so no group is gathered.
+
+    Percentiles are exact, from counts of distinct values.
+    """
     k = Compiler(df, variables)
     key = k.column(spec["_id"])
-    plain, bounded = {}, {}
+    plain, bounded, ranked = {}, {}, {}
     for n, a in spec.items():
         if n != "_id":
             op = next(iter(a), None)
             best = _best_rows(k, op, a[op], sort) if op in _N_FORMS and len(a) == 1 and isinstance(a[op], dict) else None
             if best is not None and isinstance(best[2], int):
                 bounded[n] = (op, *best)
+            elif op in ("$percentile", "$median") and len(a) == 1 and isinstance(k.kind(a[op]["input"]), NUMERIC) and a[op].get("p", [0.5]) and not df.isStreaming:
+                ranked.setdefault(json.dumps(a[op]["input"], default=str), (a[op]["input"], {}))[1][n] = (op, percents(op, a[op]))
             else:
                 plain[n] = a
     aggs = [accumulate(k, a, sort).alias(n) for n, a in plain.items()]
@@ -279,7 +286,11 @@ def group(df: DataFrame, spec: dict, sort: dict | None = None, variables: dict |
         item = F.transform("__got", lambda x: x["__v"]["v"])
         out = out.crossJoin(got) if alone and op not in ("$maxN", "$minN") else out.join(got, F.lit(True) if alone else out["_id"].eqNullSafe(got["__key"]), "left")  # alone: one row on either side
         out = out.withColumn(n, F.coalesce(item, F.array().cast(T.ArrayType(got.schema["__got"].dataType.elementType["__v"].dataType["v"].dataType)))).drop("__key", "__got")
-    return out.select("_id", *(F.col(quoted(n)) for n in spec if n != "_id")) if bounded else out
+    for value, wanted in ranked.values():
+        got = percentiles(df, F.lit(0) if alone else key, k.column(value).cast("double"), {n: ps for n, (_, ps) in wanted.items()})
+        out = out.join(got, F.lit(True) if alone else out["_id"].eqNullSafe(got["__key"]), "left").drop("__key")
+        out = out.withColumns({n: F.get(F.col(quoted(n)), F.lit(0)) for n, (op, _) in wanted.items() if op == "$median"})
+    return out.select("_id", *(F.col(quoted(n)) for n in spec if n != "_id")) if bounded or ranked else out
 
 
 @stage("$group")
