@@ -52,11 +52,24 @@ def keys_of(k: Compiler, sort: dict) -> tuple[Column | None, list[tuple[str, int
     return F.struct(*parts) if parts else F.lit(0), ways
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether Spark can sort values of the type."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def _gathered(k: Compiler, value: Column, sort: dict | None) -> Column:
     """All values of a group (nulls kept) in sorted order."""
     if not sort:
         return F.transform(F.collect_list(F.struct(value.alias("v"))), lambda x: x["v"])
     key, _ = keys_of(k, sort)
+    if key is not None and _ordered(k.df.select(value.alias("v")).schema["v"].dataType):
+        # ties keep their places; generated code compares keys, which a comparator given as an expression would do row by row
+        rows = F.collect_list(F.struct(key.alias("o"), F.struct(value.alias("v")).alias("w")))
+        return F.transform(F.sort_array(F.transform(rows, lambda x, i: F.struct(x["o"].alias("o"), i.alias("i"), x["w"].alias("w")))), lambda x: x["w"]["v"])
     if key is not None:
         return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("o"), F.struct(value.alias("v")).alias("w"))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: x["w"]["v"])
     named = {f"k{i}": p for i, p in enumerate(sort)}

@@ -716,11 +716,33 @@ def _map(k: Compiler, spec) -> Column:
     return F.transform(k.column(spec["input"]), lambda x: k.bind(**{name: (x, kind)}).column(spec["in"]))
 
 
+def _mentions(spec, name: str) -> bool:
+    """Whether an expression may read the variable ``name``."""
+    if isinstance(spec, dict):
+        return any(_mentions(x, name) for x in spec.values())
+    if isinstance(spec, (list, tuple)):
+        return any(_mentions(x, name) for x in spec)
+    return isinstance(spec, str) and (spec == name or spec.startswith(name + "."))
+
+
+def _appended(body) -> list | None:
+    """What the body of a $reduce appends to a text, if that is all it does."""
+    if not isinstance(body, dict) or list(body) != ["$concat"] or not isinstance(body["$concat"], (list, tuple)):
+        return None
+    head, *rest = body["$concat"] or [None]
+    return rest if head == "$$value" and rest and not _mentions(rest, "$$value") else None
+
+
 @operator("$reduce")
 def _reduce(k: Compiler, spec) -> Column:
     kind, start = k.element_kind(spec["input"]), spec["initialValue"]
     first = k.kind(start)
     grown = k.bind(value=(F.lit(None), first), this=(F.lit(None), kind)).kind(spec["in"])  # the accumulator has the body's type
+    rest = _appended(spec["in"])
+    if rest and isinstance(first, T.StringType) and isinstance(grown, T.StringType):
+        # text that grows by a piece an element is joined once: a fold would copy it for each element
+        parts = F.transform(k.column(spec["input"]), lambda x: k.bind(value=(F.lit(None), first), this=(x, kind)).column({"$concat": rest}).cast(grown))
+        return F.when(~F.exists(parts, lambda x: x.isNull()), F.concat(k.column(start), F.array_join(parts, "")))
     return F.aggregate(k.column(spec["input"]), k.column(start).cast(grown), lambda v, x: k.bind(value=(v, grown), this=(x, kind)).column(spec["in"]).cast(grown))
 
 

@@ -28,3 +28,25 @@ def test_percentiles_of_null_keys_and_empty_groups(spark):
     got = db.aggregate("t", [{"$group": {"_id": {"k": "$k"}, "m": {"$median": {"input": "$v", "method": "approximate"}}, "p": {"$percentile": {"input": "$v", "p": [0.9], "method": "approximate"}}}}]).collect()
     assert {r._id.k: (r.m, r.p) for r in got} == {None: (1.0, [3.0]), "a": (None, None), "b": (2.0, [2.0])}
     assert db.aggregate("t", [{"$match": {"v": {"$gt": 9}}}, {"$group": {"_id": None, "m": {"$median": {"input": "$v", "method": "approximate"}}}}]).collect() == []
+
+
+def test_reduce_to_text_is_joined_once(spark):
+    db = Database(spark)
+    db.catalog.register("t", spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["a", None]), (4, None)], "_id int, s array<string>"))
+    join = {"$reduce": {"input": "$s", "initialValue": {"$toString": "$_id"}, "in": {"$concat": ["$$value", "|", "$$this", {"$toString": "$_id"}]}}}
+    back = {"$reduce": {"input": "$s", "initialValue": "", "in": {"$concat": ["$$this", "$$value"]}}}
+    twice = {"$reduce": {"input": "$s", "initialValue": "x", "in": {"$concat": ["$$value", "$$this", "$$value"]}}}
+    df = db.aggregate("t", [{"$project": {"j": join, "b": back, "t": twice}}])
+    assert sorted((r._id, r.j, r.b, r.t) for r in df.collect()) == [(1, "1|a1|b1", "ba", "xaxbxax"), (2, "2", "", "x"), (3, None, None, None), (4, None, None, None)]
+    plan = db.aggregate("t", [{"$project": {"j": join}}])._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" in plan and "aggregate(" not in plan
+
+
+def test_pushed_values_are_sorted_by_their_keys(spark):
+    db = Database(spark)
+    rows = [(i, i % 2 if i % 5 else None, {"k": 9 - i}) for i in range(10)]
+    db.catalog.register("t", spark.createDataFrame(rows, "i int, s int, m map<string,int>").coalesce(1))
+    for way in (1, -1):
+        (r,) = db.aggregate("t", [{"$sort": {"s": way, "i": 1}}, {"$group": {"_id": None, "a": {"$push": {"$subtract": [0, "$i"]}}, "m": {"$push": "$m"}}}]).collect()
+        want = sorted(rows, key=lambda x: way * (-1 if x[1] is None else x[1]))
+        assert (r.a, [x["k"] for x in r.m]) == ([-x[0] for x in want], [9 - x[0] for x in want])
