@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import shared_dir, ship
 
 #: ASCII white space, the word separator of every operator here.
 SPACE = r"\x20\x09-\x0D"
@@ -68,22 +64,6 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, unless their PYTHONPATH already has it."""
-    sc, home = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if sc.applicationId in _SHIPPED or str(home.parent) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{home.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in home.rglob("*.py"):
-            z.write(f, f.relative_to(home.parent))
-    sc.addPyFile(str(archive))
-    _SHIPPED.add(sc.applicationId)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch unless the session already set a bound."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -1,19 +1,25 @@
 """$bucketAuto: buckets of about equal size that never split a value.
 
-Rows are first counted by distinct key; the fold over (key, count) streams that
-histogram in key order and keeps the bounds alone. Rows then find their bucket
-by comparing with the bounds.
+Rows are first counted by distinct key, and the histogram is dealt by ranges of
+its keys. The fold over (key, count) passes from range to range in tasks, and
+ranges that lie within a bucket are passed over by their sums; only the fold's
+state and the bounds reach the driver. Rows then find their bucket by comparing
+with the bounds.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.accumulators import accumulate
 from ..functions.expressions import Compiler, ExpressionError
+from ..functions.paths import NUMERIC
+from ..shared import ship
+from .ranks import dealt
 
 #: Preferred numbers of each series within a decade (fixed values of the standards).
 SERIES = {
@@ -50,34 +56,107 @@ def round_up(v: float, series: str) -> float:
     raise AssertionError
 
 
+class Fold:
+    """The fold over (key, count) in key order; it keeps the bounds alone."""
+
+    def __init__(self, total: int, buckets: int, granularity: str | None = None):
+        self.buckets, self.granularity = min(buckets, total), granularity
+        self.size, self.extra = divmod(total, self.buckets) if self.buckets else (0, 0)
+        self.out: list[list] = []
+        self.got = self.want = 0
+        self.open = False
+
+    def add(self, key, n: int) -> None:
+        if self.open and self.got >= self.want and len(self.out) < self.buckets:
+            self.close()
+        if not self.open and self.granularity and self.out and (len(self.out) == self.buckets or key < self.out[-1][2]):
+            return  # under the bound that was rounded up
+        if not self.open:
+            self.want = self.size + (self.extra > 0)
+            self.extra -= self.extra > 0
+            self.got, self.open = 0, True
+            self.out.append([key, key, key])
+        _checked(key, self.granularity)
+        self.out[-1][2] = key
+        self.got += n
+
+    def room(self) -> float:
+        """How many rows may still come before the open bucket is full; none where no bucket is open."""
+        if not self.open:
+            return 0
+        return math.inf if len(self.out) == self.buckets else self.want - self.got
+
+    def skip(self, top, n: int) -> None:
+        """Adds a range of keys that ends in the open bucket."""
+        self.out[-1][2] = top
+        self.got += n
+
+    def close(self) -> None:
+        self.extra = max(0, self.extra - max(0, self.got - self.want))
+        if self.granularity:
+            self.out[-1][2] = round_up(float(self.out[-1][2]), self.granularity)
+        self.open = False
+
+    def bounds(self) -> list[tuple]:
+        """[(first key, min, max)] of the buckets."""
+        if self.open:
+            self.close()
+        out = [list(b) for b in self.out]
+        for a, b in zip(out, out[1:], strict=False):
+            if self.granularity:
+                b[1] = a[2]
+            else:
+                a[2] = b[1]
+        return [tuple(b) for b in out]
+
+
 def plan(counts, total: int, buckets: int, granularity: str | None = None) -> list[tuple]:
-    """[(first key, min, max)] of the buckets over (key, count) in key order.
-
-    ``counts`` is read once, a key at a time; only the bounds are kept.
-    """
-    buckets = min(buckets, total)
-    size, extra = divmod(total, buckets) if buckets else (0, 0)
-    counts = iter(counts)
-    out, now = [], next(counts, None)
-    while now is not None and len(out) < buckets:
-        want = size + (extra > 0)
-        extra -= extra > 0
-        first, got, last_one = now[0], 0, len(out) == buckets - 1
-        while now is not None and (got < want or last_one):
-            _checked(now[0], granularity)
-            top, got, now = now[0], got + now[1], next(counts, None)
-        extra = max(0, extra - max(0, got - want))
-        if granularity:
-            top = round_up(float(top), granularity)
-            while now is not None and now[0] < top:
-                now = next(counts, None)
-        out.append([first, first, top])
-    for a, b in zip(out, out[1:], strict=False):
-        if granularity:
-            b[1] = a[2]
-        else:
-            a[2] = b[1]
-    return [tuple(b) for b in out]
+    """[(first key, min, max)] of the buckets over (key, count) in key order, read once, a key at a time."""
+    fold = Fold(total, buckets, granularity)
+    for key, n in counts:
+        fold.add(key, n)
+    return fold.bounds()
+
+
+def dealt_plan(counts: DataFrame, buckets: int, granularity: str | None = None) -> list[tuple]:
+    """``plan`` over a frame of ``__key`` and ``count``: at most one job for each range that a bucket ends in."""
+    ship(counts.sparkSession)
+    rows = dealt(counts, "__key")
+    wrong = F.lit(False)
+    if granularity:
+        key, kind = F.col("__key"), counts.schema["__key"].dataType
+        wrong = key.isNull() | (F.isnan(key) | (key < 0) if isinstance(kind, NUMERIC) else F.lit(True))
+    ranges = rows.groupBy("__p").agg(F.sum("count").alias("n"), F.max("__key").alias("top"), F.max(wrong).alias("wrong")).orderBy("__p").collect()
+    fold, pairs = Fold(sum(r["n"] for r in ranges), buckets, granularity), rows.select("__key", "count").sortWithinPartitions(F.asc_nulls_first("__key")).rdd
+    for r in ranges:
+        if r["n"] <= fold.room() and not r["wrong"]:
+            fold.skip(r["top"], r["n"])
+            continue
+        fold = _folded(pairs, r["__p"], r["n"], fold)
+    return fold.bounds()
+
+
+def _folded(pairs, part: int, n: int, fold: Fold) -> Fold:
+    """The state after the pairs of one range, which are folded in its task."""
+
+    def run(rows):
+        now, seen = pickle.loads(state), 0
+        try:
+            for key, count in rows:
+                now.add(key, count)
+                seen += count
+        except ExpressionError as e:
+            return [(pickle.dumps(e), seen)]
+        return [(pickle.dumps(now), seen)]
+
+    state = pickle.dumps(fold)
+    ((got, seen),) = pairs.context.runJob(pairs, run, [part])
+    got = pickle.loads(got)
+    if isinstance(got, ExpressionError):
+        raise got
+    if seen != n:
+        raise AssertionError(f"range {part} has {seen} rows, not {n}")
+    return got
 
 
 def _checked(v, granularity: str | None) -> None:
@@ -91,8 +170,7 @@ def bucket_auto(df: DataFrame, spec: dict, state) -> DataFrame:
     if not isinstance(n, int) or n <= 0:
         raise ExpressionError("buckets is a positive integer")
     keyed = df.withColumn("__key", key)
-    counts = keyed.groupBy("__key").count().orderBy(F.asc_nulls_first("__key"))
-    bounds = plan(((r[0], r[1]) for r in counts.toLocalIterator()), df.count(), n, spec.get("granularity"))
+    bounds = dealt_plan(keyed.groupBy("__key").count(), n, spec.get("granularity"))
     if not bounds:
         return df.sparkSession.createDataFrame([], "_id struct<min:string,max:string>, count long")
     kind = "double" if spec.get("granularity") else keyed.schema["__key"].dataType

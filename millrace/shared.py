@@ -1,8 +1,11 @@
-"""The folder that driver and executors share, and cuts of lineage in it."""
+"""The folder that driver and executors share, cuts of lineage in it, and the package for executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, unless their PYTHONPATH already has it."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or str(home.parent) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in home.rglob("*.py"):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import Database
+from millrace.functions.expressions import ExpressionError
 
 
 def exact(ps, n, of=lambda r: float(r)):
@@ -50,3 +52,28 @@ def test_pushed_values_are_sorted_by_their_keys(spark):
         (r,) = db.aggregate("t", [{"$sort": {"s": way, "i": 1}}, {"$group": {"_id": None, "a": {"$push": {"$subtract": [0, "$i"]}}, "m": {"$push": "$m"}}}]).collect()
         want = sorted(rows, key=lambda x: way * (-1 if x[1] is None else x[1]))
         assert (r.a, [x["k"] for x in r.m]) == ([-x[0] for x in want], [9 - x[0] for x in want])
+
+
+def test_bucket_auto_keeps_keys_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from millrace.operators.buckets import dealt_plan, plan
+
+    def never(self, *a, **b):
+        raise AssertionError("the histogram streams through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    db = Database(spark)
+    keys = [k * k % 701 for k in range(3000)] + [5] * 900 + [None] * 40
+    db.catalog.register("t", spark.createDataFrame([(k,) for k in keys], "k int"))
+    counts = sorted(((k, keys.count(k)) for k in set(keys)), key=lambda x: (x[0] is not None, x[0] or 0))
+    hist = spark.createDataFrame(counts, "__key int, count long").repartition(8)
+    for n in (1, 7, 5000):
+        assert dealt_plan(hist, n) == plan(counts, len(keys), n)
+    for n, series in ((3, "R20"), (40, "POWERSOF2")):
+        assert dealt_plan(hist.where("__key > 0"), n, series) == plan([c for c in counts if c[0]], sum(c[1] for c in counts if c[0]), n, series)
+    got = db.aggregate("t", [{"$bucketAuto": {"groupBy": "$k", "buckets": 4}}]).collect()
+    assert [(r._id.min, r._id.max) for r in got] == [b[1:] for b in plan(counts, len(keys), 4)] and sum(r["count"] for r in got) == len(keys)
+    with pytest.raises(ExpressionError):
+        db.aggregate("t", [{"$bucketAuto": {"groupBy": "$k", "buckets": 4, "granularity": "R5"}}])
+    assert db.aggregate("t", [{"$match": {"k": -1}}, {"$bucketAuto": {"groupBy": "$k", "buckets": 4}}]).collect() == []
