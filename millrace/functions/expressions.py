@@ -1096,6 +1096,10 @@ TYPES = {"double": "double", "string": "string", "bool": "boolean", "date": "tim
 CODES = {1: "double", 2: "string", 5: "binData", 7: "objectId", 8: "bool", 9: "date", 16: "int", 18: "long", 19: "decimal"}
 
 
+#: What every text that reads as a number matches. A failing cast raises and catches an error inside, which costs far more than the pattern.
+MAY_READ = {"int": r"^[^A-Za-z0-9]*+[0-9][^A-Za-z]*+$", "long": r"^[^A-Za-z0-9]*+[0-9][^A-Za-z]*+$", "double": "[0-9nN]", "decimal": r"\p{Nd}"}
+
+
 def type_name(kind: T.DataType | None) -> str:
     for t, name in ((T.DoubleType, "double"), (T.FloatType, "double"), (T.StringType, "string"), (T.StructType, "object"), (T.MapType, "object"), (T.ArrayType, "array"), (T.BinaryType, "binData"), (T.BooleanType, "bool"), (T.LongType, "long"), (T.DecimalType, "decimal"), ((T.IntegerType, T.ShortType, T.ByteType), "int"), (DATES, "date"), (T.NullType, "null")):
         if isinstance(kind, t):
@@ -1127,6 +1131,8 @@ def _converted(k: Compiler, spec, to: str) -> Column:
         if isinstance(kind, T.BooleanType):
             return F.when(c, F.lit("true")).when(~c, F.lit("false"))
         return F.lower(F.hex(c)) if isinstance(kind, T.BinaryType) else c.cast("string")
+    if to in MAY_READ and kind == T.StringType():
+        return F.when(c.rlike(MAY_READ[to]), c.try_cast(TYPES[to]))
     return c.try_cast(TYPES[to])
 
 
@@ -1134,7 +1140,8 @@ def _to(name: str, to: str) -> None:
     def run(k: Compiler, spec) -> Column:
         (spec,) = k.specs(spec, 1, 1)
         c, out = k.column(spec), _converted(k, spec, to)
-        return F.when(c.isNotNull() & out.isNull(), fail(f"{name}: the value can't be converted", TYPES[to])).otherwise(out)
+        # the conversion stands here once: nested ones would double in size at each level and leave compiled code too large to be optimized
+        return F.coalesce(out, F.when(c.isNotNull(), fail(f"{name}: the value can't be converted", TYPES[to])))
 
     OPERATORS[name] = run
 
@@ -1152,7 +1159,7 @@ def _convert(k: Compiler, spec) -> Column:
     c, out = k.column(spec["input"]), _converted(k, spec["input"], to)
     wrong = k.column(spec["onError"]) if "onError" in spec else fail("$convert: the value can't be converted", TYPES[to])
     empty = k.column(spec["onNull"]) if "onNull" in spec else F.lit(None)
-    return F.when(c.isNull(), empty).when(out.isNull(), wrong).otherwise(out)
+    return F.coalesce(out, F.when(c.isNull(), empty).otherwise(wrong))
 
 
 @operator("$isNumber")

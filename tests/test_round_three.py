@@ -77,3 +77,18 @@ def test_bucket_auto_keeps_keys_off_the_driver(spark, monkeypatch):
     with pytest.raises(ExpressionError):
         db.aggregate("t", [{"$bucketAuto": {"groupBy": "$k", "buckets": 4, "granularity": "R5"}}])
     assert db.aggregate("t", [{"$match": {"k": -1}}, {"$bucketAuto": {"groupBy": "$k", "buckets": 4}}]).collect() == []
+
+
+def test_conversions_of_text_that_is_no_number(spark):
+    db = Database(spark)
+    texts = ["N", "", " 7 ", "+7", "-8\t", "1.5", "1e3", "0x10", "7a", "a7", "NaN", "-Infinity", "inf", ".5", "5.", "\x007\x7f", "99999999999", "1 2", "--1", "٧", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "_id int, s string")
+    db.catalog.register("t", df)
+    kinds = {"int": "int", "long": "bigint", "double": "double", "decimal": "decimal(38,10)"}
+    got = db.aggregate("t", [{"$project": {t: {"$convert": {"input": "$s", "to": t, "onError": -3, "onNull": -4}} for t in kinds}}])
+    want = df.select("_id", *(F.when(F.col("s").isNull(), -4).otherwise(F.coalesce(F.col("s").try_cast(c), F.lit(-3))).alias(t) for t, c in kinds.items()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = db.aggregate("t", [{"$project": {"x": {"$convert": {"input": "$s", "to": "int", "onError": -3}}}}])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and plan.count("try_cast") == 1
+    with pytest.raises(Exception, match="converted"):
+        db.aggregate("t", [{"$project": {"x": {"$toInt": "$s"}}}]).collect()
